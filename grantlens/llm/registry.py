@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import sp_codec, warc
 
-QUERIES = {"op1_warc": warc.op1_warc}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op7_sentencepiece": sp_codec.op7_sentencepiece,
+}
 SQL = {"op1_warc": warc.SQL}
