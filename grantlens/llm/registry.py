@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import sp_codec, warc
+from . import packing, sp_codec, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_packing": packing.op3_packing,
     "op7_sentencepiece": sp_codec.op7_sentencepiece,
+    "op9_top_k": topk.op9_top_k,
 }
-SQL = {"op1_warc": warc.SQL}
+SQL = {"op1_warc": warc.SQL, "op9_top_k": topk.SQL}
