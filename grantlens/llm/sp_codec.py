@@ -30,8 +30,8 @@ from .common import read
 
 SPACE = "▁"
 #: Words kept in each of two generations.
-MOST_WORDS = 200_000
-MOST_PAIRS = 400_000
+MOST_WORDS = 400_000
+MOST_PAIRS = 800_000
 _cut = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -55,7 +55,6 @@ class Codec:
         self.unknown = lib.unk_id()
         plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.length = {i: len(p) for p, i in self.ids.items()}
         # a merge's place in time: by falling score
         self.rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-lib.get_score(i), i)))}
         self.chars = {c for p in self.ids for c in p}
@@ -68,14 +67,27 @@ class Codec:
                 self.halves[i] = made
             else:
                 continue  # merges never make this piece
-            automaton.add_word(p, (i, len(p)))
+            automaton.add_word(p, i)
         automaton.make_automaton()
         self.matches = automaton.iter
-        self.pairs = {(a, b): i for i, h in self.halves.items() if h for a, b in [h]}
-        self.joined = {i: p for p, i in self.ids.items()}
+        self.left = [-1] * n
+        self.right = [-1] * n
+        self.size = [0] * n
+        self.time = [-1] * n
+        # rank of the merge of two pieces into a third
+        self.across: dict[int, int] = {}
+        for p, i in self.ids.items():
+            self.size[i] = len(p)
+            if self.halves.get(i):
+                self.left[i], self.right[i] = self.halves[i]
+                self.time[i] = self.rank[i]
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    self.across[a << 32 | b] = self.rank[i]
         self.words: dict[str, tuple[list[int], str]] = {}
         self.older: dict[str, tuple[list[int], str]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two ids whose merge makes this piece, if merging its characters ends in it."""
@@ -89,42 +101,49 @@ class Codec:
         return None if a is None or b is None else (a, b)
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
+        key = a << 32 | b
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= MOST_PAIRS:
                 self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
+            known = self.fits[key] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
-        rank, halves, joined, ids = self.rank, self.halves, self.joined, self.ids
-        before = len(rank) + 1  # a merge across the border of a lower rank than this would have happened
+        across, time, left, right = self.across.get, self.time, self.left, self.right
+        before = 1 << 40  # a merge across the border of a lower rank than this would have happened
         while True:
-            across = ids.get(joined[a] + joined[b])
-            if across is not None and rank[across] < before:
+            merged = across(a << 32 | b)
+            if merged is not None and merged < before:
                 return False
-            ha, hb = halves[a], halves[b]
-            if ha is None and hb is None:
+            ta, tb = time[a], time[b]
+            if ta < 0 and tb < 0:
                 return True
-            if hb is None or ha is not None and rank[a] > rank[b]:
-                before, a = rank[a], ha[1]  # of two equal merges, the left one comes first
+            if ta > tb:
+                before, a = ta, right[a]  # of two equal merges, the left one comes first
             else:
-                before, b = rank[b] + 1, hb[0]
+                before, b = tb + 1, left[b]
 
     def _known(self, text: str) -> list[int]:
         """Ids of characters that are all in the vocabulary."""
         n = len(text)
-        last: list[int] = [-1] * (n + 1)
-        for end, (token, size) in self.matches(text):
+        last = [-1] * (n + 1)
+        last[0] = -2
+        known, compatible, length = self.fits.get, self.compatible, self.size
+        for end, token in self.matches(text):
             end += 1
-            if last[end] < 0:
-                start = end - size
-                if start == 0 or last[start] >= 0 and self.compatible(last[start], token):
+            if last[end] == -1:
+                before = last[end - length[token]]
+                if before >= 0:
+                    fits = known(before << 32 | token)
+                    if fits or fits is None and compatible(before, token):
+                        last[end] = token
+                elif before == -2:
                     last[end] = token
         out = []
         while n:
             out.append(token := last[n])
-            n -= self.length[token]
+            n -= length[token]
         out.reverse()
         return out
 
