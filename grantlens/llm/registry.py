@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, sp_codec, topk, warc
+from . import hnsw, packing, sp_codec, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_packing": packing.op3_packing,
+    "op4_near_vectors": hnsw.op4_near_vectors,
     "op7_sentencepiece": sp_codec.op7_sentencepiece,
     "op9_top_k": topk.op9_top_k,
 }
