@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import hnsw, packing, sp_codec, topk, toxicity, warc
+from . import hnsw, packing, quality_fm, sp_codec, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_packing": packing.op3_packing,
     "op4_near_vectors": hnsw.op4_near_vectors,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality_fm.op6_quality,
     "op7_sentencepiece": sp_codec.op7_sentencepiece,
     "op9_top_k": topk.op9_top_k,
 }
