@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, packing, quality_fm, sp_codec, topk, toxicity, warc
+from . import chat, hnsw, packing, quality_fm, sp_codec, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality_fm.op6_quality,
     "op7_sentencepiece": sp_codec.op7_sentencepiece,
+    "op8_tool_links": chat.op8_tool_links,
     "op9_top_k": topk.op9_top_k,
 }
-SQL = {"op1_warc": warc.SQL, "op9_top_k": topk.SQL}
+SQL = {"op1_warc": warc.SQL, "op8_tool_links": chat.SQL, "op9_top_k": topk.SQL}
