@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hnsw, packing, quality_fm, sp_codec, topk, toxicity, warc
+from . import chat, hnsw, jaccard, packing, quality_fm, sp_codec, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_sentencepiece": sp_codec.op7_sentencepiece,
     "op8_tool_links": chat.op8_tool_links,
     "op9_top_k": topk.op9_top_k,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 SQL = {"op1_warc": warc.SQL, "op8_tool_links": chat.SQL, "op9_top_k": topk.SQL}
