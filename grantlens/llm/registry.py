@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, hnsw, jaccard, packing, quality_fm, sp_codec, topk, toxicity, warc
+from . import chat, hnsw, jaccard, packing, quality_fm, sp_codec, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_near_vectors": hnsw.op4_near_vectors,
     "op5_toxicity": toxicity.op5_toxicity,
