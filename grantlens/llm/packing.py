@@ -17,9 +17,11 @@ rows with one doc_id are packed each on their own; an empty table gives no piece
 
 from __future__ import annotations
 
+import gc
+import os
 import re
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,9 +36,12 @@ from .common import Scratch, read
 CAPACITY = 2048
 END_ID = 1
 SLACK = 64
-MOST_WORDS = 150_000
-#: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer; others take its own way.
-_plain = re.compile("[\t-\r\x20-\x7e¡-įı-ſ]*")
+#: Words kept in each of two generations.
+MOST_WORDS = 400_000
+#: White space to str.split, but not to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer.
+_plain = re.compile("[\x20-\x7e¡-įı-ſ]*")
 _word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\\w\\s]|_)+")
 
 
@@ -47,43 +52,55 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian 32-bit words; words seen are kept in two generations of bounded size."""
+    """Ids of texts as little-endian 32-bit words.
+
+    No token and no step of the tokenizer reaches across white space, so what stands between is encoded once and kept. What is new
+    there is taken apart into words and signs, which are kept as well.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # batches are small, and tasks use the cores
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _fill(self, missing: set[str]) -> None:
-        new = []
+        new: dict[str, list[str]] = {}
         for w in missing:
-            if (kept := self.older.get(w)) is None:
-                new.append(w)
-            else:
+            if (kept := self.older.get(w)) is not None:
                 self.words[w] = kept
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            elif "<|" not in w and _plain.fullmatch(w):
+                new[w] = _word.findall(w.lower())
+            else:  # special tokens' strings and other scripts as the library itself takes them
+                self.words[w] = self._whole(w)
+        if len(self.parts) >= MOST_WORDS:
+            self.parts, self.older_parts = {}, self.parts
+        fresh = []
+        for part in set().union(*new.values()).difference(self.parts):
+            if (kept := self.older_parts.get(part)) is not None:
+                self.parts[part] = kept
+            else:
+                fresh.append(part)
+        if fresh:
+            for part, e in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                self.parts[part] = array("I", e.ids).tobytes()
+        for w, made in new.items():
+            self.words[w] = b"".join([self.parts[x] for x in made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) >= MOST_WORDS:
             self.words, self.older = {}, self.words
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            # special tokens' strings are found by the library itself, and so is what is not plain
-            if "<|" in text or not _plain.fullmatch(text):
-                split.append(None)
-                continue
-            split.append(words := _word.findall(unicodedata.normalize("NFC", text).lower()))
-            missing.update(words)
-        self._fill(missing - self.words.keys())
-        known = self.words
-        return [self._whole(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split, strict=True)]
+        split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        self._fill(set().union(*filter(None, split)).difference(self.words))
+        known = self.words.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
 @lru_cache(2)
@@ -154,10 +171,11 @@ def _first_id(round_no: int) -> int:
 def _tokenise_and_fill(path: str, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, bins = tokenizer(path), Bins(capacity, _first_id(0))
+        gc.disable()  # nothing here makes cycles, and walking the words kept costs much
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 ids_of = t.encode([x or "" for x in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
                     ids = memoryview(ids + end)
