@@ -54,7 +54,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[
     for s in short:
         w = h[first[s] : first[s] + count[s]]
         out_r.append(np.array([s]))
-        out_h.append(mix(np.add.reduce(w * np.array(_MULTIPLIERS[: len(w)])) * _MULTIPLIERS[7] + np.uint64(len(w)))[None] if len(w) else w)
+        out_h.append(mix((w * np.array(_MULTIPLIERS[: len(w)])).sum(keepdims=True) * _MULTIPLIERS[7] + np.uint64(len(w))))
     if not out_r:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     r, v = np.concatenate(out_r), np.concatenate(out_h)
@@ -181,6 +181,31 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, words:
     return links
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key a neighbour has too."""
+    last: pa.RecordBatch | None = None
+    twice = False  # whether the row held back has its key from the row before
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if last is not None:
+            joined = last.column(0)[0].as_py() == key[0]
+            if twice or joined:
+                yield last
+        else:
+            joined = False
+        same = np.concatenate(([joined], key[1:] == key[:-1]))
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        keep[-1] = False
+        yield batch.filter(pa.array(keep))
+        last, twice = batch.slice(batch.num_rows - 1, 1), bool(same[-1])
+    if last is not None and twice:
+        yield last
+
+
 def _tiles(percent: int) -> Callable:
     """Candidate pairs of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
 
@@ -244,9 +269,8 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     digest = ["n", "s1", "s2"]
     classes = scratch.save(marks.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
     reps = marks.where("n > 0").join(classes.withColumnRenamed("id", "doc_id"), [*digest, "doc_id"], "left_semi")
-    posts = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n").distinct()
-    shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    posts = scratch.save(posts.join(shared, "key"), "posts")
+    posts = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
+    posts = scratch.save(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n long"), "posts")
     scratch.release()
     step = float(np.log(100 / percent))
     # the first of each band of n, so that a band's sizes differ by the factor percent / 100 at most

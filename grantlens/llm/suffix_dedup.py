@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .common import Scratch, mix, powers, prefix_hash, read, text_bytes
 
@@ -299,10 +299,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, core
     return spans.union(found.where("kind = 0").select("id", "mark", "start", (F.col("start") + F.col("run") + F.lit(length - 1)).alias("end")))
 
 
-def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the bytes that are left), in columns of a struct named `cut`, or cut_ ...
 
-    Spans of a row are no more than the bytes of its text, so they come to it as one list.
+    as_text: kept is a string, without the rest of characters that a cut went through. Spans of a row are no more than the bytes of its text, so they come to it as one list.
     """
     name = "cut"
     while name in docs.columns:
@@ -313,7 +313,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     rows = rows.select(*docs.columns, "__spans")
     columns = list(docs.columns)
     text = columns.index("text")
-    fields = StructType().add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", BinaryType())
+    fields = StructType().add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", StringType() if as_text else BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +333,9 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     gone = np.cumsum(change[:-1]) > 0
                     starts = gone & ~np.concatenate(([False], gone[:-1]))
                     out.append((len(own), int(gone.sum()), int(starts.sum()), own[~gone].tobytes()))
-                made = pa.StructArray.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["n_bytes", "n_removed", "n_spans", "kept"])
+                if as_text:
+                    out = [(*o[:3], o[3].decode("utf-8", "ignore")) for o in out]
+                made = pa.StructArray.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))], names=["n_bytes", "n_removed", "n_spans", "kept"])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*columns, name])
 
     return rows.mapInArrow(run, StructType([*docs.schema.fields]).add(name, fields))
