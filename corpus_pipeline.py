@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.llm import jaccard, packing, quality_fm, suffix_dedup, toxicity
-from grantlens.llm.common import Scratch, read
+from grantlens.llm.common import Scratch, read, sided
 
 ORACLE_SQL = None
 
@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = Scratch(spark, "near-ids").save(jaccard.join(docs, Scratch(spark, "near"), words=5, percent=80).select("doc_id", "component_id"), "found")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(sided(gone), "doc_id", "left_anti").select(*docs.columns)
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return left

@@ -53,6 +53,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+#: A side of at most so many narrow rows is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sided(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join of few columns of numbers: broadcast if it has been counted and is small, else built by partition."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("shuffle_hash")
+
+
 def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     """(id, component_id) of each vertex of edges (a, b): the smallest id that it reaches.
 

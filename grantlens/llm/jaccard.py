@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, components, mix, read, slices, text_bytes, word_hashes
+from .common import LOWER, Scratch, components, mix, read, sided, slices, text_bytes, word_hashes
 
 WORDS = 3
 PERCENT = 90
@@ -173,14 +173,46 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, words:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.save(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(make, "id long, items binary"), f"sets-{tag}")
+    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"ids-{tag}")
+    sets = scratch.save(docs.join(sided(ids), "doc_id", "left_semi").mapInArrow(make, "id long, items binary"), f"sets-{tag}")
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     links = scratch.save(found.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"links-{tag}")
     scratch.drop(f"sets-{tag}")
+    scratch.drop(f"ids-{tag}")
     return links
 
 
+def screen(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that signatures let pass; maps has (id, n, bitmap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(3), batch.column(5), strict=True)
+            keep = [_may(p, q, x.as_buffer(), y.as_buffer(), percent) for p, q, x, y in sizes]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda id_, n, bitmap: maps.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("bitmap").alias(bitmap))
+    both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b")
+    return both.select("a", "b", "p", "x", "q", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def folded(bitmap: bytes, words: int) -> np.ndarray:
+    """A signature with fewer bits: halves laid over each other keep the parity."""
+    x = np.frombuffer(bitmap, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _may(p: int, q: int, x: bytes, y: bytes, percent: int) -> bool:
+    """intersection <= (sum of sizes - bits apart) / 2, and similarity >= t needs (100 + t) x it >= t x sum."""
+    if 100 * min(p, q) < percent * max(p, q):
+        return False
+    words = min(len(x), len(y)) // 8
+    apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+    return (100 + percent) * (p + q - apart) >= 2 * percent * (p + q)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, those whose key a neighbour has too."""
     last: pa.RecordBatch | None = None
@@ -209,12 +241,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tiles(percent: int) -> Callable:
     """Candidate pairs of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
 
-    def folded(bitmap: bytes, size: int) -> np.ndarray:
-        x = np.frombuffer(bitmap, np.uint64)
-        while len(x) > size:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        return x
-
     def compare(a: list[tuple], b: list[tuple], same: bool) -> list[tuple[int, int]]:
         out = []
         for i in range(0, len(a), BLOCK):
@@ -230,7 +256,6 @@ def _tiles(percent: int) -> Callable:
                 size = min(len(x[3]) // 8 for x in p + q)
                 sp, sq = np.array([folded(x[3], size) for x in p]), np.array([folded(x[3], size) for x in q])
                 apart = np.bitwise_count(sp[:, None] ^ sq).sum(2, dtype=np.int64)
-                # intersection <= (sum of sizes - bits apart) / 2, and similarity >= t needs (100 + t) x it >= t x sum
                 total = np_[:, None] + nq
                 may &= (100 + percent) * (total - apart) >= 2 * percent * total
                 out += [(min(p[x][1], q[y][1]), max(p[x][1], q[y][1])) for x, y in zip(*np.nonzero(may), strict=True)]
@@ -268,7 +293,7 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     marks = scratch.save(signatures(docs, heat(docs, words), words, percent), "signatures")
     digest = ["n", "s1", "s2"]
     classes = scratch.save(marks.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
-    reps = marks.where("n > 0").join(classes.withColumnRenamed("id", "doc_id"), [*digest, "doc_id"], "left_semi")
+    reps = marks.where("n > 0").join(classes.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), [*digest, "doc_id"], "left_semi")
     posts = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
     posts = scratch.save(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n long"), "posts")
     scratch.release()
@@ -277,13 +302,14 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     posts = posts.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
     star = posts.groupBy("key", "band").agg(F.min(F.struct("n", "id")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
     pairs = posts.join(star.select("key", "band", "pivot"), ["key", "band"]).select(F.col("pivot.id").alias("p"), "id").where("p <> id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs")
+    maps = reps.select(F.col("doc_id").alias("id"), "n", "bitmap").dropDuplicates(["id", "n"])
+    pairs = scratch.save(screen(pairs, maps, percent), "pairs")
+    scratch.release()
     links = verify(docs, pairs, scratch, "star", words, percent)
     scratch.release()
     labels = components(scratch, links, "star")
     named = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    maps = reps.select(F.col("doc_id").alias("id"), "n", "bitmap").dropDuplicates(["id", "n"])
     open_ = named.join(mixed, "key").join(maps, ["id", "n"])
     row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
     tiles = open_.withColumn("visitor", F.lit(0)).select(*row).union(open_.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
