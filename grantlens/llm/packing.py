@@ -37,11 +37,11 @@ CAPACITY = 2048
 END_ID = 1
 SLACK = 64
 #: Words kept in each of two generations.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 #: White space to str.split, but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer.
-_plain = re.compile("[\x20-\x7e¡-įı-ſ]*")
+_plain = re.compile("[\x20-;=-\x7e¡-įı-ſ]*")  # no "<", with which special tokens start
 _word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\\w\\s]|_)+")
 
 
@@ -63,6 +63,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.lib.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -76,7 +78,7 @@ class WordTokenizer:
         for w in missing:
             if (kept := self.older.get(w)) is not None:
                 self.words[w] = kept
-            elif "<|" not in w and _plain.fullmatch(w):
+            elif _plain.fullmatch(w):
                 new[w] = _word.findall(w.lower())
             else:  # special tokens' strings and other scripts as the library itself takes them
                 self.words[w] = self._whole(w)
@@ -88,11 +90,23 @@ class WordTokenizer:
                 self.parts[part] = kept
             else:
                 fresh.append(part)
-        if fresh:
-            for part, e in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.parts[part] = array("I", e.ids).tobytes()
+        for i in range(0, len(fresh), 512):
+            self._encode_parts(fresh[i : i + 512])
         for w, made in new.items():
-            self.words[w] = b"".join([self.parts[x] for x in made])
+            self.words[w] = self.parts[made[0]] if len(made) == 1 else b"".join([self.parts[x] for x in made])
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encode words and signs in one text; a token that ends a word says so."""
+        ids = np.array(self.lib.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(parts) and ends[-1] == len(ids):
+            data, start = ids.tobytes(), 0
+            for part, end in zip(parts, (4 * ends).tolist(), strict=True):
+                self.parts[part] = data[start:end]
+                start = end
+        else:  # another kind of vocabulary
+            for part in parts:
+                self.parts[part] = self._whole(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) >= MOST_WORDS:
