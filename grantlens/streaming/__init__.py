@@ -1,0 +1 @@
+"""Operators on streams: the engine has none; tables are batches, and a stream of them would append to awards and links."""
