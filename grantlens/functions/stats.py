@@ -58,7 +58,7 @@ def floor_quartile(df: DataFrame, order: list[Column], name: str = "quartile") -
     """Quartiles of floor(n / 4) rows each, the remainder in the last; null below four rows."""
     ranked = ordinal(df, order, "__r").withColumn("__n", F.count("*").over(Window.partitionBy()))
     size = F.floor(F.col("__n") / 4)
-    quartile = F.least(F.floor((F.col("__r") - 1) / F.nullif(size, F.lit(0).cast("long"))), F.lit(3)) + 1
+    quartile = F.when(size > 0, F.least(F.floor((F.col("__r") - 1) / F.greatest(size, F.lit(1))), F.lit(3)) + 1)
     return ranked.withColumn(name, quartile.cast("int")).drop("__r", "__n")
 
 

@@ -211,6 +211,9 @@ def regression(panel: DataFrame, reference: str = "PA", least: int = 30) -> Data
             if v != base.get(c, values[0]):
                 names.append(f"{c}={v}")
                 columns.append((F.col(c) == v).cast("double").alias(f"{c}={v}"))
+    empty = panel.sparkSession.createDataFrame([], "term string, beta double, pct_diff double, reference string")
+    if not levels["foa_type"]:
+        return empty  # no category is large enough
     data = rows.select(F.log1p("pubs").alias("label"), *columns)
     fitted = LinearRegression(solver="normal", standardization=False).fit(VectorAssembler(inputCols=names, outputCol="features").transform(data))
     made = [(n, float(b)) for n, b in zip(names, fitted.coefficients, strict=True) if n.startswith("foa_type=")]
