@@ -213,29 +213,32 @@ def _may(p: int, q: int, x: bytes, y: bytes, percent: int) -> bool:
     return (100 + percent) * (p + q - apart) >= 2 * percent * (p + q)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key a neighbour has too."""
-    last: pa.RecordBatch | None = None
-    twice = False  # whether the row held back has its key from the row before
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        if last is not None:
-            joined = last.column(0)[0].as_py() == key[0]
-            if twice or joined:
-                yield last
-        else:
-            joined = False
-        same = np.concatenate(([joined], key[1:] == key[:-1]))
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        keep[-1] = False
-        yield batch.filter(pa.array(keep))
-        last, twice = batch.slice(batch.num_rows - 1, 1), bool(same[-1])
-    if last is not None and twice:
-        yield last
+def _shared(percent: int) -> Callable:
+    """Of rows sorted by key and n, those with a neighbour of the same key and a size near enough; others have no partner there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        kept = False  # whether the row held back has a partner before it
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            near = False
+            if last is not None:
+                near = bool(last.column(0)[0].as_py() == key[0] and 100 * last.column(2)[0].as_py() >= percent * n[0])
+                if kept or near:
+                    yield last
+            same = np.concatenate(([near], (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])))
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            keep[-1] = False
+            yield batch.filter(pa.array(keep))
+            last, kept = batch.slice(batch.num_rows - 1, 1), bool(same[-1])
+        if last is not None and kept:
+            yield last
+
+    return run
 
 
 def _tiles(percent: int) -> Callable:
@@ -295,7 +298,7 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     classes = scratch.save(marks.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
     reps = marks.where("n > 0").join(classes.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), [*digest, "doc_id"], "left_semi")
     posts = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    posts = scratch.save(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n long"), "posts")
+    posts = scratch.save(posts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_shared(percent), "key long, id long, n long"), "posts")
     scratch.release()
     step = float(np.log(100 / percent))
     # the first of each band of n, so that a band's sizes differ by the factor percent / 100 at most
