@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Both classes have counts of five-byte n-grams from labelled documents. Each is discounted and backs off to one shared model:
-the number of different five-grams, over all documents of the corpus, that a three-gram ends. So a form that neither class has seen
+Both classes have counts of five-character n-grams from labelled documents. Each is discounted and backs off to one shared model:
+the number of different five-grams, over all documents of the corpus, that a two-gram ends. So a form that neither class has seen
 costs both the same, and inflections of rare expressions share what their stems have shown.
 
 A document's evidence is the difference of the two log-likelihoods: normalised by its length, and for its three most toxic
 words. A logistic regression on these gives the score; it is fitted on a third of the labelled rows, whose n-grams the class counts
 leave out.
 
-Texts are lower-cased (A-Z) and punctuation counts as space. Class counts come from at most ROWS_PER_CLASS labelled rows of
+Texts are lower-cased, punctuation counts as space, and of each character 12 bits are kept. Class counts come from at most ROWS_PER_CLASS labelled rows of
 each class; the shared counts come from every document and grow with the corpus. The model that is sent to
 executors has at most 2**TABLE_BITS entries: of n-grams in one place, the most frequent is kept, and others count as
 no evidence.
@@ -33,36 +33,42 @@ from .labels import logistic, sample, scored, verdicts
 THRESHOLD = 0.3
 ROWS_PER_CLASS = 12_000
 TABLE_BITS = 22
-ORDER, BACKOFF = 5, 3
+ORDER, BACKOFF = 5, 2
+BITS = 12
 DISCOUNT = 0.75
 RIDGE = 0.1
-_fold = np.arange(256, dtype=np.uint8)
-_fold[65:91] += 32
+_fold = np.arange(1 << BITS, dtype=np.uint64)
 _fold[[c for c in b" \t\n\v\f\r.,!?;:|\"()"]] = 32
-_SPACE = np.uint64(32)
+_SPACE, _LAST = np.uint64(32), np.uint64((1 << BITS) - 1)
 #: n-grams in memory before a task sums them up
 _HELD = 1 << 21
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of rows as numbers of a byte each place, one for each byte and one for the end, and the bounds of rows."""
-    sizes = np.diff(offsets) + ORDER  # spaces before and after each row
-    ends = np.cumsum(sizes)
-    buffer = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
-    for end, size, a, b in zip(ends, sizes, offsets[:-1], offsets[1:], strict=True):
-        start = end - size + ORDER - 1
-        buffer[start : start + b - a] = _fold[data[a:b]]
-    n = len(buffer) - ORDER + 1
-    key = np.zeros(max(0, n), np.uint64)
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts as numbers of BITS bits a place, one for each character and one for the end, and the bounds of texts."""
+    low = [(t or "").lower() for t in texts]
+    count = np.array([len(t) + 1 for t in low], np.int64)
+    sizes = count + ORDER - 1  # spaces before and after each text
+    pad = " " * (ORDER - 1)
+    joined = "".join([f"{pad}{t} " for t in low])
+    units = _fold[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(_LAST)]
+    n = max(0, len(units) - ORDER + 1)
+    key = np.zeros(n, np.uint64)
     for i in range(ORDER):
-        key = (key << np.uint64(8)) | buffer[i : i + n]
-    # those that span two rows go
-    count = sizes - ORDER + 1
+        key = (key << np.uint64(BITS)) | units[i : i + n]
+    # those that span two texts go
     bounds = np.concatenate(([0], np.cumsum(count)))
-    first = np.repeat(ends - sizes - bounds[:-1], count)
+    first = np.repeat(np.cumsum(sizes) - sizes - bounds[:-1], count)
     return key[first + np.arange(len(first))], bounds
 
 
+def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs a to b of texts with about `most` bytes."""
+    _, offsets = text_bytes(texts)
+    for a, b in slices(offsets, most):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, label, n) for batches (text, label); label -1 where there is none to count."""
     held: dict[int, list] = {}
@@ -78,10 +84,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return keys, n
 
     for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
         labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets, SLICE_BYTES // 2):
-            key, bounds = grams(data, offsets[a : b + 1])
+        for a, b, texts in _runs(batch.column(0), SLICE_BYTES // 2):
+            key, bounds = grams(texts)
             own = np.repeat(labels[a:b], np.diff(bounds))
             for label in np.unique(own):
                 keys, n = np.unique(key[own == label], return_counts=True)
@@ -121,15 +126,14 @@ class Model:
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """For each row: the mean ratio, those of its three most toxic words, and the log of its length."""
-        data, offsets = text_bytes(texts)
-        out = np.zeros((len(offsets) - 1, 5))
-        for a, b in slices(offsets):
-            key, bounds = grams(data, offsets[a : b + 1])
+        out = np.zeros((len(texts), 5))
+        for a, b, part in _runs(texts, SLICE_BYTES):
+            key, bounds = grams(part)
             sums = np.concatenate(([0.0], np.cumsum(self.ratios(key), dtype=np.float64)))
             n = np.diff(bounds)
             out[a:b, 0] = (sums[bounds[1:]] - sums[bounds[:-1]]) / n
             out[a:b, 4] = np.log(n)
-            ends = np.flatnonzero((key & np.uint64(255)) == _SPACE) + 1  # each row's last n-gram is one
+            ends = np.flatnonzero((key & _LAST) == _SPACE) + 1  # each row's last n-gram is one
             row = np.searchsorted(bounds, ends - 1, "right") - 1
             word = np.diff(sums[np.concatenate(([0], ends))])
             first = np.searchsorted(row, np.arange(b - a))
@@ -179,9 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: in
 
 
 def _ratios(table: DataFrame) -> DataFrame:
-    """(gram, n, ratio): the log of how much likelier each n-gram's last byte is for the toxic class."""
-    counts = table.select("gram", "n", "toxic", "ordinary", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND((1 << 8 * BACKOFF) - 1).alias("low"))
-    ends = counts.groupBy("low").agg(F.count("*").alias("kinds")).withColumn("history", F.shiftright("low", 8))
+    """(gram, n, ratio): the log of how much likelier each n-gram's last character is for the toxic class."""
+    counts = table.select("gram", "n", "toxic", "ordinary", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND((1 << BITS * BACKOFF) - 1).alias("low"))
+    ends = counts.groupBy("low").agg(F.count("*").alias("kinds")).withColumn("history", F.shiftright("low", BITS))
     after = ends.groupBy("history").agg(F.sum("kinds").alias("all_kinds"))
     backoff = ends.join(after, "history").select("low", (F.col("kinds") / F.col("all_kinds")).alias("shared"))
     seen = lambda c: F.sum((F.col(c) > 0).cast("int"))
