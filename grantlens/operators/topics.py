@@ -148,6 +148,17 @@ def brief(awards: DataFrame, publinks: DataFrame, metrics: DataFrame) -> dict[st
     }
 
 
+def meta_brief(awards: DataFrame, publinks: DataFrame, metrics: DataFrame, citers: DataFrame, sample_grants: int = 8, words: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Translation of the best-funded grants, similar grants, open science, impact against support."""
+    titles = awards.withColumn("id", grants.grant_key()).groupBy("id").agg(F.min("project_title").alias("t")).select("id", F.split(F.lower("t"), "[^a-z0-9]+").alias("words"))
+    return {
+        "translation": grants.translation(awards, publinks, metrics, citers, sample_grants).orderBy(F.desc("clinical_reach"), F.coalesce("mean_apt", F.lit(0.0)).desc(), "grant"),
+        "similar": grants.similar_grants(titles if words is None else words),
+        "open_science": grants.open_science(publinks, metrics).agg(F.count("*").alias("grants"), F.sum("pubs").alias("pubs"), F.sum("in_pmc").alias("in_pmc")),
+        "support": grants.support_vs_impact(awards, publinks, metrics).groupBy("quartile").agg(F.count("*").alias("pis"), F.round(F.sum(F.col("rcr_per_million").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("mean_rcr_per_million")),
+    }
+
+
 def render(title: str, tables: dict[str, DataFrame], rows: int = 20) -> str:
     """A brief as Markdown: a numbered section for each table, with at most `rows` rows and a note where there are more."""
     out = [f"# Portfolio brief: {title}", ""]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs, stats
-from ..operators import grants, graph, portfolio, topics
+from ..operators import grants, graph, lookup, portfolio, topics
 from ..sources import records, standin
 from ..sources.standin import CTE
 
@@ -582,3 +582,132 @@ def success_rate_clean(s, d):
     o = _read(s, d, "orders").groupBy(F.year("o_orderdate").cast("string").alias("fy")).agg(F.count("*").cast("string").alias("reviewed"), F.count_if(F.col("o_orderstatus") == "F").cast("string").alias("awarded"))
     raw = o.withColumn("rate", F.concat(F.round(100 * F.col("awarded").cast("double") / F.col("reviewed").cast("double"), 4).cast("string"), F.lit("%"))).union(s.sql("SELECT 'a footnote', NULL, NULL, NULL"))
     return records.success_rates(raw).withColumn("rate", F.round("rate", 4))
+
+
+# ---------------------------------------------------------------- registries
+
+
+def _trials(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "events").select(F.concat(F.lit("NCT"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("nct_id"), F.col("event_type").alias("condition"), F.col("props").alias("detail"), F.array(F.concat(F.lit("R01CA"), F.lpad((F.col("event_id") % 1000).cast("string"), 6, "0"))).alias("grants"))
+
+
+_TRIALS = "trials AS (SELECT 'NCT' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS nct_id, event_type AS condition, props AS detail, 'R01CA' || lpad(CAST(event_id % 1000 AS VARCHAR), 6, '0') AS number FROM events)"
+_LABELS = "labels_ AS (SELECT p_partkey AS label_id, p_name AS brand, p_type AS indication FROM part)"
+_DEATHS = "deaths AS (SELECT c_mktsegment AS cause_name, CAST(year(o_orderdate) AS INT) AS year, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e6, 4) AS aadr FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+_AREAS = "areas AS (SELECT c_mktsegment AS measure, 'S' || CAST(c_nationkey AS VARCHAR) AS state, 2001 AS year, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS value FROM customer)"
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "part").selectExpr("p_partkey AS label_id", "p_name AS brand", "p_type AS indication")
+
+
+def _deaths(s: SparkSession, d: str) -> DataFrame:
+    return _a(s, d).groupBy(F.col("ic").alias("cause_name"), F.col("fiscal_year").alias("year")).agg(F.round(portfolio.cost().cast("double") / 1e6, 4).alias("aadr"))
+
+
+def _areas(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "customer").selectExpr("c_mktsegment AS measure", "'S' || CAST(c_nationkey AS STRING) AS state", "2001 AS year", "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS value")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the ') AND contains(lower(lang), 'en') ORDER BY doc_id LIMIT 20")
+def article_search(s, d):
+    return lookup.search(_read(s, d, "documents"), "doc_id", 20, text="The ", lang="EN").select("doc_id", "lang")
+
+
+@query("SELECT count(*) AS total FROM documents WHERE contains(lower(text), 'the ')")
+def article_count(s, d):
+    return lookup.count(_read(s, d, "documents"), text="the ")
+
+
+_IDS = [5, 3, 999_999_999, 8, 1]
+
+
+@query(f"SELECT CAST(i - 1 AS INT) AS pos, pmid, rcr FROM (SELECT CAST(unnest({_IDS}) AS VARCHAR) AS k, generate_subscripts({_IDS}, 1) AS i) JOIN (SELECT {', '.join(f'{e} AS {c}' for c, e in standin.METRICS.items())} FROM part) m ON k = pmid ORDER BY pos")
+def metrics_in_order(s, d):
+    ids = s.createDataFrame([(i, str(k)) for i, k in enumerate(_IDS)], "pos int, id string")
+    return lookup.in_order(ids, standin.metrics(s, d).select("pmid", "rcr"), "pmid").select("pos", "pmid", "rcr")
+
+
+@query(f"WITH {_TRIALS} SELECT nct_id, condition FROM trials WHERE contains(lower(condition), 'click') ORDER BY nct_id LIMIT 50")
+def trial_search(s, d):
+    return lookup.search(_trials(s, d), "nct_id", 50, condition="click").select("nct_id", "condition")
+
+
+@query(f"WITH {_TRIALS} SELECT count(*) AS total FROM trials WHERE contains(lower(condition), 'click')")
+def trial_count(s, d):
+    return lookup.count(_trials(s, d), condition="click")
+
+
+@query(f"WITH {_TRIALS} SELECT nct_id, condition FROM trials WHERE number = 'R01CA000007'")
+def trials_of_grant(s, d):
+    return graph.trials_of_grant(_trials(s, d), "r01ca000007").select("nct_id", "condition")
+
+
+@query(f"WITH {_TRIALS} SELECT 'AWARD:' || number AS subject, 'funded_trial' AS predicate, 'CLINICAL_TRIAL:' || nct_id AS object, TRUE AS authoritative FROM trials")
+def edges_award_trial(s, d):
+    return graph.trial_edges(_trials(s, d)).select("subject", "predicate", "object", "authoritative")
+
+
+@query(f"WITH t AS (SELECT doc_id, {_ACCESSION_TEXT} AS t FROM documents) SELECT 'PUBLICATION:' || CAST(doc_id AS VARCHAR) AS subject, 'DATASET:GEO:GSE' || CAST(1000 + doc_id AS VARCHAR) AS object, FALSE AS authoritative FROM t")
+def edges_publication_dataset(s, d):
+    rows = _read(s, d, "documents").selectExpr("CAST(doc_id AS STRING) AS pmid", f"{_ACCESSION_TEXT} AS text")
+    return graph.dataset_edges(rows).where(F.startswith("object", F.lit("DATASET:GEO:"))).select("subject", "object", "authoritative")
+
+
+@query(f"WITH {_LABELS} SELECT label_id, indication, (SELECT count(*) FROM labels_ WHERE contains(lower(indication), 'promo')) AS total FROM labels_ WHERE contains(lower(indication), 'promo') ORDER BY label_id LIMIT 20")
+def labels_for_indication(s, d):
+    return lookup.labels_for_indication(_labels(s, d), "Promo", "label_id").select("label_id", "indication", "total")
+
+
+@query(f"WITH {_AREAS} SELECT count(value) AS areas, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) AS mean_prevalence FROM areas WHERE measure = 'BUILDING' AND state = 'S3'")
+def prevalence_mean(s, d):
+    return lookup.prevalence_mean(_areas(s, d), IC, "S3")
+
+
+@query("SELECT p_brand AS assay, count(*) AS records, (SELECT count(*) FROM part) AS n_records, (SELECT count(DISTINCT p_brand) FROM part) AS n_assays FROM part GROUP BY 1 ORDER BY records DESC, assay LIMIT 10")
+def chemical_assay_summary(s, d):
+    return records.assay_summary(_read(s, d, "part").select(F.col("p_brand").alias("assay")))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT 'RFA-' || CAST(c_custkey AS VARCHAR) AS foa_number, c_custkey AS k FROM customer), h AS (SELECT foa_number, k, CASE WHEN k % 3 = 0 THEN 'exact' WHEN k % 3 = 1 THEN 'first' END AS title FROM n)
+SELECT foa_number, 'RFA' AS type, title, title IS NULL AS derived FROM h"""
+)
+def foa_resolve(s, d):
+    k = F.col("c_custkey")
+    numbers = _read(s, d, "customer").select(F.concat(F.lit("RFA-"), k.cast("string")).alias("foa_number"), k.alias("k"))
+    hits = numbers.where("k % 3 < 2").select("foa_number", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("other").alias("number"), F.lit("first").alias("title")), F.struct(F.lit(1).alias("pos"), F.when(F.col("k") % 3 == 0, F.lower("foa_number")).otherwise("x").alias("number"), F.when(F.col("k") % 3 == 0, "exact").otherwise("second").alias("title")))).alias("h"))
+    hits = hits.select("foa_number", "h.*", F.lit("A").alias("agency"), F.lit("posted").alias("status"))
+    return records.resolve_foa(numbers.select("foa_number"), hits).select("foa_number", "type", "title", "derived")
+
+
+@query(
+    _with(_TRIALS, _LABELS, _DEATHS, _AREAS)
+    + f"""SELECT (SELECT count(DISTINCT core_project_num) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS grants,
+(SELECT CAST({_MONEY} AS DOUBLE) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS funding,
+(SELECT count(*) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS award_years,
+(SELECT count(*) FROM trials WHERE contains(lower(condition), 'click')) AS trials, (SELECT count(*) FROM labels_ WHERE contains(lower(indication), 'promo')) AS labels,
+(SELECT round((arg_max(aadr, year) - arg_min(aadr, year)) / arg_min(aadr, year), 6) FROM deaths WHERE cause_name = 'BUILDING') AS mortality_change,
+(SELECT count(value) FROM areas WHERE measure = 'BUILDING') AS areas, (SELECT round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) FROM areas WHERE measure = 'BUILDING') AS mean_prevalence"""
+)
+def condition_pulse(s, d):
+    return lookup.condition_pulse(_a(s, d), _trials(s, d), _labels(s, d), _deaths(s, d), _areas(s, d), ["building"], "click", "promo", IC, IC, YEARS)
+
+
+def _meta(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return topics.meta_brief(_a(s, d), _p(s, d), standin.metrics(s, d), standin.citers(s, d))
+
+
+@query(_with(*_TRANSLATION, "best AS (SELECT c FROM g ORDER BY f DESC, c LIMIT 8)") + 'SELECT tr.* FROM tr JOIN best ON "grant" = best.c')
+def meta_brief_translation(s, d):
+    return _meta(s, d)["translation"]
+
+
+@query(_with("x AS (SELECT DISTINCT core_project_num, pmid FROM publinks)") + "SELECT count(DISTINCT core_project_num) AS grants, count(*) AS pubs, count(*) FILTER (WHERE has_pmc) AS in_pmc FROM x JOIN metrics m ON x.pmid = m.pmid")
+def meta_brief_open_science(s, d):
+    return _meta(s, d)["open_science"]
+
+
+@query(_with(_EDGES.replace("pe AS", "pe AS", 1)) + "SELECT split_part(object, ':', 1) AS node_type, count(DISTINCT object) AS n FROM ee GROUP BY 1")
+def award_entities(s, d):
+    return graph.entity_edges(_a(s, d)).groupBy(exprs.split_node("object")[0].alias("node_type")).agg(F.count_distinct("object").alias("n"))
