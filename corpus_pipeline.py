@@ -15,19 +15,27 @@ from grantlens.llm.common import Scratch, read, sided
 ORACLE_SQL = None
 
 
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """Space for a stage; shuffle files of the stages before go."""
+    new = Scratch(spark, name)
+    new.release()
+    return new
+
+
 def _score_column(scored: DataFrame, docs: DataFrame) -> str:
     return next(c for c in scored.columns if c not in docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    _scratch(spark, "quality")
     scored = quality_fm.score(docs, quality_fm.fit(docs, read(spark, sf_dir, "labels")), keep=True)
     return scored.where(F.col(_score_column(scored, docs)) >= quality_fm.THRESHOLD).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), _scratch(spark, "toxicity"))
     scored = toxicity.score(docs, model, keep=True)
     return scored.where(F.col(_score_column(scored, docs)) < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -37,7 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with one id are one document, of which one row stays; rows without id stay, but for one of equal texts.
     """
-    found = Scratch(spark, "near-ids").save(jaccard.join(docs, Scratch(spark, "near"), words=5, percent=80).select("doc_id", "component_id"), "found")
+    found = jaccard.join(docs, _scratch(spark, "near"), words=5, percent=80).select("doc_id", "component_id")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     left = docs.join(sided(gone), "doc_id", "left_anti").select(*docs.columns)
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -52,7 +60,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat elsewhere; n_chars follows a text that is cut. Every document stays, if with less text."""
-    made = suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs, Scratch(spark, "repeats")), as_text=True)
+    made = suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs, _scratch(spark, "repeats")), as_text=True)
     cut = next(c for c in made.columns if c not in docs.columns)
     less = F.col(f"{cut}.n_removed") > 0
     changed = {"text": F.when(less, F.col(f"{cut}.kept")).otherwise(F.col("text"))}
@@ -63,7 +71,7 @@ def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, Scratch(spark, "packing"), packing.default_tokenizer())
+    return packing.pack(docs, _scratch(spark, "packing"), packing.default_tokenizer())
 
 
 STAGES = [

@@ -45,6 +45,12 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(self.path(table))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of plans that are finished with."""
         import gc

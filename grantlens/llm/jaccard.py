@@ -5,6 +5,7 @@ one of the first n - ceil(t n) + 1 shingles of either in any common order, so do
 order puts shingles by how often their hash bucket occurs in the corpus (counted over all documents), so frequent ones come
 last and tiles stay small. Nothing is lost: any order will do.
 
+A document stays in a tile only if another of like size is there, and of tiles with the same documents one stays.
 Only components are asked for, so a tile need not compare what is already linked. First each tile and size band compares its
 smallest document with the others, which links groups of copies in as many comparisons as members. Then tiles that hold more than
 one component compare the rest across components: documents of a size band with those of the same and the next band (a band's
@@ -300,6 +301,11 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     posts = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
     posts = scratch.save(posts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_shared(percent), "key long, id long, n long"), "posts")
     scratch.release()
+    # tiles of the same documents find the same pairs: one of them is enough
+    print_ = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.sum(F.xxhash64("n", "id").cast("decimal(38,0)")).alias("s")]
+    chosen = posts.groupBy("key").agg(*print_).groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key")
+    posts = scratch.save(posts.join(chosen, "key", "left_semi"), "tiles")
+    scratch.drop("posts")
     step = float(np.log(100 / percent))
     # the first of each band of n, so that a band's sizes differ by the factor percent / 100 at most
     posts = posts.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
@@ -325,7 +331,10 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     grouped = classes.join(labels, "id", "left").select(*digest, F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     linked = marks.where("n > 0").select("doc_id", *digest).join(grouped, digest)
     alone = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return linked.select("doc_id", "n", "component_id", "class_id").union(alone).withColumnRenamed("n", "n_shingles")
+    result = scratch.save(linked.select("doc_id", "n", "component_id", "class_id").union(alone).withColumnRenamed("n", "n_shingles"), "result")
+    for table in ("signatures", "classes", "tiles", "pairs", "more"):
+        scratch.drop(table)
+    return result
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
