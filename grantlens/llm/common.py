@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +39,15 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+    def save(self, df: DataFrame, table: str, batch_rows: int | None = None) -> DataFrame:
+        """Write and reread a table; batch_rows bounds the rows that Python gets at once meanwhile, where rows are long."""
+        before = self.spark.conf.get(BATCH_CONF)
+        if batch_rows:
+            self.spark.conf.set(BATCH_CONF, str(batch_rows))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+        finally:
+            self.spark.conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
@@ -53,12 +64,30 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of plans that are finished with."""
-        import gc
-
         gc.collect()
         self.spark._jvm.System.gc()
 
 
+_held: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps between tasks; workers serve many operators, and keep the object of one."""
+    if key not in _held:
+        make_room()
+        _held[key] = make()
+    return _held[key]
+
+
+def make_room() -> None:
+    """Let go of what another operator keeps in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 #: A side of at most so many narrow rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -127,7 +156,7 @@ def with_components(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- texts as byte arrays
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, components, mix, read, sided, slices, text_bytes, word_hashes
+from .common import LOWER, Scratch, components, make_room, mix, read, sided, slices, text_bytes, word_hashes
 
 WORDS = 3
 PERCENT = 90
@@ -67,6 +67,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[
 
 def sets_of(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows a to b: a, b, places of each row's shingles, row and hash of the shingles."""
+    make_room()
     data, offsets = text_bytes(texts)
     for a, b in slices(offsets):
         r, v = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
@@ -175,9 +176,9 @@ def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, words:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"ids-{tag}")
-    sets = scratch.save(docs.join(sided(ids), "doc_id", "left_semi").mapInArrow(make, "id long, items binary"), f"sets-{tag}")
+    sets = scratch.save(docs.join(sided(ids), "doc_id", "left_semi").mapInArrow(make, "id long, items binary"), f"sets-{tag}", 1000)
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    links = scratch.save(found.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"links-{tag}")
+    links = scratch.save(found.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"links-{tag}", 500)
     scratch.drop(f"sets-{tag}")
     scratch.drop(f"ids-{tag}")
     return links
@@ -294,7 +295,7 @@ def _tiles(percent: int) -> Callable:
 def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = scratch.save(signatures(docs, heat(docs, words), words, percent), "signatures")
+    marks = scratch.save(signatures(docs, heat(docs, words), words, percent), "signatures", 2000)
     digest = ["n", "s1", "s2"]
     classes = scratch.save(marks.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
     reps = marks.where("n > 0").join(classes.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), [*digest, "doc_id"], "left_semi")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, held, read
 
 CAPACITY = 2048
 END_ID = 1
@@ -117,9 +117,8 @@ class WordTokenizer:
         return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
-@lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held((WordTokenizer, path), lambda: WordTokenizer(path))
 
 
 @lru_cache(4096)
@@ -184,8 +183,14 @@ def _first_id(round_no: int) -> int:
 
 def _tokenise_and_fill(path: str, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, bins = tokenizer(path), Bins(capacity, _first_id(0))
         gc.disable()  # nothing here makes cycles, and walking the words kept costs much
+        try:
+            yield from filled(batches)
+        finally:
+            gc.enable()
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, bins = tokenizer(path), Bins(capacity, _first_id(0))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, prefix_hash, read, slices, span_hash, text_bytes, word_spans
+from .common import LOWER, make_room, prefix_hash, read, slices, span_hash, text_bytes, word_spans
 from .labels import remainder, sample, scored, verdicts
 
 THRESHOLD = 0.7
@@ -49,6 +49,7 @@ STATISTICS = [*_class, "bytes", "words", "distinct", "top", "repeat", "length",
 
 def features(texts: pa.Array, n_chars: pa.Array | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows a to b: a, b, row, place and weight of each distinct word, and the matrix of statistics."""
+    make_room()
     data, offsets = text_bytes(texts)
     meta = None if n_chars is None else n_chars.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
     for a, b in slices(offsets):

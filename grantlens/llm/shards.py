@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import make_room
+
 
 def shard_count(df: DataFrame, n: int, least_rows: int, most_rows: int) -> int:
     """As many shards as the session has cores, but none below least_rows; more when a shard would pass most_rows."""
@@ -33,6 +35,7 @@ def visit(rows: DataFrame, queries: DataFrame, shards: int, make: Callable, sche
     dealt = own.union(ask).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         current, ids, vectors, extra, search = None, [], [], [], None
         for batch in batches:
             for block in range(0, batch.num_rows, 512):

@@ -21,13 +21,12 @@ import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import held, read
 
 SPACE = "▁"
 #: Words kept in each of two generations.
@@ -204,9 +203,8 @@ class Codec:
         return self.lib.decode(ids)
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held((Codec, path), lambda: Codec(path))
 
 
 def encode_table(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
@@ -221,6 +219,12 @@ def _table(docs: DataFrame, path: str, with_ids: bool, decode: bool) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         gc.disable()  # nothing here makes cycles, and walking the words kept costs more than encoding
+        try:
+            yield from encoded(c, batches)
+        finally:
+            gc.enable()
+
+    def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .common import Scratch, mix, powers, prefix_hash, read, text_bytes
+from .common import Scratch, make_room, mix, powers, prefix_hash, read, text_bytes
 
 LENGTH = 200
 CORE = 100
@@ -135,6 +135,7 @@ def _first_family(length: int, core_bytes: int):
     """From (id, mark, text) to marks and one entry for each different run of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         family, held, n = Family(5), [], 0
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -288,13 +289,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, core
     id_, mark = _identity(docs)
     texts = docs.select(id_.alias("id"), mark.alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     entries = texts.where(F.octet_length("text") >= length).mapInArrow(_first_family(length, core), ENTRY)
-    found = scratch.save(entries.repartition("core").mapInArrow(_second_family(), ENTRY), "entries")
+    found = scratch.save(entries.repartition("core").mapInArrow(_second_family(), ENTRY), "entries", 4000)
     scratch.release()
     open_ = found.where("kind = 1").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "start", "run", "offset", "hit", "others")).alias("runs"))
     fetched = texts.join(open_.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "runs")
     # rows with one identity bring the same runs twice, and rightly match: each text starts in the other row too
     windows = fetched.mapInArrow(_windows_of(length), WINDOW).repartition("deal")
-    spans = scratch.save(windows.mapInArrow(_third_family(length), "id long, mark long, start long, end long"), "spans")
+    spans = scratch.save(windows.mapInArrow(_third_family(length), "id long, mark long, start long, end long"), "spans", 2000)
     scratch.release()
     return spans.union(found.where("kind = 0").select("id", "mark", "start", (F.col("start") + F.col("run") + F.lit(length - 1)).alias("end")))
 

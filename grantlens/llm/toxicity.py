@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, mix, read, slices, text_bytes
+from .common import SLICE_BYTES, Scratch, make_room, mix, read, slices, text_bytes
 from .labels import logistic, sample, scored, verdicts
 
 THRESHOLD = 0.3
@@ -64,6 +64,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
     """Runs a to b of texts with about `most` bytes."""
+    make_room()
     _, offsets = text_bytes(texts)
     for a, b in slices(offsets, most):
         yield a, b, texts.slice(a, b - a).to_pylist()
@@ -85,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b, texts in _runs(batch.column(0), SLICE_BYTES // 2):
+        for a, b, texts in _runs(batch.column(0), SLICE_BYTES):
             key, bounds = grams(texts)
             own = np.repeat(labels[a:b], np.diff(bounds))
             for label in np.unique(own):
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: in
     label = F.when(F.col("fold") < 2, F.col("label")).otherwise(F.lit(-1))
     counted = use.select("text", label.cast("int").alias("label")).mapInArrow(_counts, "gram long, label int, n long")
     per = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary"), F.sum("n").alias("n")), "grams")
+    table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary"), F.sum("n").alias("n")), "grams", 4000)
     model = Model(*_slots(_ratios(table), table_bits), table_bits)
     check = use.where("fold = 3").select("text", "label").mapInArrow(_evidence_of(model), "e array<double>, label int").collect()
     model.fit(np.array([r.e for r in check]).reshape(-1, 5), np.array([r.label for r in check], float))
