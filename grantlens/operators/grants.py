@@ -42,7 +42,7 @@ def pubs_per_dollar(awards: DataFrame, publinks: DataFrame, floor: float = 250_0
     """Links (not distinct publications) per million for the best-funded grants, with what was eligible and whether that was capped."""
     grants = awards.withColumn("grant", grant_key()).groupBy("grant").agg(cost().alias("funding"), F.min_by("activity_code", F.struct("fiscal_year", "application_id")).alias("activity"))
     grants = grants.where(F.col("funding") >= floor)
-    ranked = stats.ordinal(grants, [F.desc("funding"), F.col("grant")], "rank").withColumn("eligible", F.count("*").over(Window.partitionBy()))
+    ranked = stats.with_total(stats.ordinal(grants, "funding", ["grant"], "rank", descending=True), "eligible")
     kept = ranked.where(F.col("rank") <= max_grants)
     links = publinks.groupBy(F.col("core_project_num").alias("grant")).agg(F.count("*").alias("links"))
     rows = kept.join(links, "grant", "left").fillna(0, ["links"]).withColumn("funding", F.col("funding").cast("double"))
@@ -62,14 +62,14 @@ def support_vs_impact(awards: DataFrame, publinks: DataFrame, metrics: DataFrame
 
     One chain of joins for all investigators; publications without a ratio count as 0.
     """
-    chosen = stats.systematic_sample(pi_support(awards, floor), [F.col("funding"), F.col("pi")], max_pis)
+    chosen = stats.systematic_sample(pi_support(awards, floor), "funding", ["pi"], max_pis)
     ids = F.regexp_extract_all(F.coalesce("pi_ids", F.lit("")), F.lit("([0-9]+)"), F.lit(1))
     cores = awards.select(F.explode(F.array_distinct(ids)).alias("pi"), "core_project_num").distinct()
     pubs = chosen.select("pi").join(cores, "pi").join(publinks, "core_project_num").select("pi", "pmid").distinct()
     impact = pubs.join(metrics.select("pmid", "rcr"), "pmid", "left").groupBy("pi").agg(F.count("*").alias("pubs"), F.sum(F.coalesce("rcr", F.lit(0)).cast("decimal(18,6)")).cast("double").alias("rcr_sum"))
     rows = chosen.join(impact, "pi", "left").fillna(0, ["pubs", "rcr_sum"])
     rows = rows.withColumn("rcr_per_million", F.round(F.col("rcr_sum") / (F.col("funding").cast("double") / 1e6), 6))
-    return stats.floor_quartile(rows, [F.col("funding"), F.col("pi")]).withColumn("funding", F.col("funding").cast("double"))
+    return stats.floor_quartile(rows, "funding", ["pi"]).withColumn("funding", F.col("funding").cast("double"))
 
 
 def translation(awards: DataFrame, publinks: DataFrame, metrics: DataFrame, citers: DataFrame, max_grants: int | None = None) -> DataFrame:

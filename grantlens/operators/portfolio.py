@@ -90,11 +90,10 @@ def funding_vs_output(awards: DataFrame, publinks: DataFrame, ic: str | None = N
     Quartiles of floor(n / 4) with the remainder on top, or with `tiles` ntile(4). Below four investigators there are no bins.
     """
     rows = output_by_pi(awards, publinks, ic, year, floor)
-    order = [F.col("funding"), F.col("contact_pi_id")]
     if tiles:
-        rows = rows.withColumn("quartile", F.ntile(4).over(Window.orderBy(*order)))
+        rows = stats.tiles(rows, "funding", ["contact_pi_id"], 4, "quartile")
     else:
-        rows = stats.floor_quartile(rows, order).where("quartile IS NOT NULL")
+        rows = stats.floor_quartile(rows, "funding", ["contact_pi_id"]).where("quartile IS NOT NULL")
     funding = F.col("funding").cast("double")
     rate = (F.col("pubs") / (funding / 1e6)).cast("decimal(28,12)")
     return rows.groupBy("quartile").agg(
@@ -132,13 +131,15 @@ def output_latency(awards: DataFrame, publinks: DataFrame, ic: str | None = None
 
 def latency_summary(awards: DataFrame, publinks: DataFrame, ic: str | None = None, years: list[int] | None = None) -> DataFrame:
     """Grants, with output, censored, nearest-rank quartiles and interpolated ones."""
-    rows = output_latency(awards, publinks, ic, years)
-    # counts of each latency are few, however many grants there are
-    each = F.sort_array(F.collect_list("latency"))
-    sums = rows.agg(F.count("*").alias("n_grants"), F.count("latency").alias("n_with_output"), each.alias("v"), F.percentile("latency", [0.25, 0.5, 0.75]).alias("q"))
-    rank = [stats.nearest_rank(F.col("v"), p).cast("long").alias(f"p{round(100 * p)}_years") for p in (0.25, 0.5, 0.75)]
+    # one row for each latency: at most as many as there are years
+    each = output_latency(awards, publinks, ic, years).groupBy("latency").agg(F.count("*").alias("n"))
+    known = each.where("latency IS NOT NULL").withColumn("upto", F.sum("n").over(Window.orderBy("latency")))
+    steps = F.sort_array(F.collect_list(F.struct("upto", F.col("latency").cast("long").alias("v"))))
+    found = known.agg(steps.alias("steps"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_with_output"), F.percentile("latency", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
+    row = found.join(F.broadcast(each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_grants"))))  # one row each
+    rank = [stats.nearest_rank(F.col("steps"), F.col("n_with_output"), p).alias(f"p{round(100 * p)}_years") for p in (0.25, 0.5, 0.75)]
     inter = [F.round(F.col("q")[i], 6).alias(f"q{p}_interpolated") for i, p in enumerate((25, 50, 75))]
-    return sums.select("n_grants", "n_with_output", (F.col("n_grants") - F.col("n_with_output")).alias("n_censored"), *rank, *inter)
+    return row.select("n_grants", "n_with_output", (F.col("n_grants") - F.col("n_with_output")).alias("n_censored"), *rank, *inter)
 
 
 def grant_panel(awards: DataFrame, publinks: DataFrame, ic: str | None = None, years: list[int] | None = None, floor: float = 100_000) -> DataFrame:

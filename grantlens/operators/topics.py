@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, stats
@@ -65,9 +65,11 @@ def nam_map(rows: DataFrame, key: str, text: Column, examples: int = 5) -> DataF
     first = rows.select(F.col(key).alias("grant"), matching(text, NAM_METHODS).alias("methods"))
     scanned = first.agg(F.count("*").alias("grants_scanned"), F.count_if(F.size("methods") > 0).alias("grants_with_nam"))
     each = first.select("grant", F.explode("methods").alias("method"))
-    # the smallest few of each method: an aggregate that keeps no more
-    few = each.groupBy("method").agg(F.count("*").alias("grants"), F.array_join(F.slice(F.array_sort(F.collect_set("grant")), 1, examples), ",").alias("examples"))
-    return few.join(F.broadcast(scanned))
+    counts = each.groupBy("method").agg(F.count("*").alias("grants"))
+    # only the first few of each method come together
+    first_few = each.distinct().withColumn("r", F.row_number().over(Window.partitionBy("method").orderBy("grant"))).where(F.col("r") <= examples)
+    few = first_few.groupBy("method").agg(F.array_join(F.array_sort(F.collect_list("grant")), ",").alias("examples"))
+    return counts.join(F.broadcast(few), "method").join(F.broadcast(scanned))  # a row for each method, one row
 
 
 def pulse(awards: DataFrame, years: list[int], per_year_cap: int | None = None) -> DataFrame:
@@ -75,8 +77,6 @@ def pulse(awards: DataFrame, years: list[int], per_year_cap: int | None = None)
     rows = awards.where(F.col("fiscal_year").isin(years))
     seen = rows.groupBy("fiscal_year").agg(F.count("*").alias("records"))
     if per_year_cap:
-        from pyspark.sql import Window
-
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("fiscal_year").orderBy("application_id"))).where(F.col("r") <= per_year_cap)
     sums = rows.groupBy("fiscal_year").agg(F.count_distinct(grants.grant_key()).alias("grants"), portfolio.cost().cast("double").alias("funding"))
     capped = F.col("records") > per_year_cap if per_year_cap else F.lit(False)
@@ -93,8 +93,6 @@ def top_entities(awards: DataFrame, n: int = 10) -> DataFrame:
     once = awards.withColumn("grant", grants.grant_key()).groupBy("grant").agg(F.min_by(F.struct("ic", "activity_code", "org_name"), F.struct("fiscal_year", "application_id")).alias("g"))
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"g.{c}").alias("name")) for kind, c in (("ic", "ic"), ("mechanism", "activity_code"), ("institution", "org_name"))])
     counts = once.select(F.explode(pairs).alias("p")).groupBy("p.kind", "p.name").agg(F.count("*").alias("grants"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("grants"), "name"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 

@@ -227,7 +227,7 @@ _SAMPLE = "sm AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY funding,
 
 @query(_with(*_SUPPORT, _SAMPLE) + "SELECT pi, CAST(funding AS DOUBLE) AS funding, grants FROM sm")
 def pi_stratified_sample(s, d):
-    return stats.systematic_sample(grants.pi_support(_a(s, d)), [F.col("funding"), F.col("pi")], 60).withColumn("funding", F.col("funding").cast("double"))
+    return stats.systematic_sample(grants.pi_support(_a(s, d)), "funding", ["pi"], 60).withColumn("funding", F.col("funding").cast("double"))
 
 
 @query(

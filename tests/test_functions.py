@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grantlens.functions import exprs, stats
@@ -85,25 +86,36 @@ def test_spearman_and_quartiles(spark):
     df = spark.createDataFrame([("a", 1.0, 4.0), ("b", 2.0, 3.0), ("c", 3.0, 2.0), ("d", 4.0, 1.0)], "k string, x double, y double")
     assert stats.spearman(df, "x", "y", "k").first().spearman == -1.0
     assert stats.spearman(df.limit(2), "x", "y", "k").first().spearman is None
-    ten = stats.floor_quartile(table(spark, range(10)), [F.col("v"), F.col("k")])
+    ten = stats.floor_quartile(table(spark, range(10)), "v", ["k"])
     assert [r.n for r in ten.groupBy("quartile").agg(F.count("*").alias("n")).orderBy("quartile").collect()] == [2, 2, 2, 4]
-    assert stats.floor_quartile(table(spark, [1, 2]), [F.col("v")]).where("quartile IS NOT NULL").count() == 0
+    assert stats.floor_quartile(table(spark, [1, 2]), "v", ["k"]).where("quartile IS NOT NULL").count() == 0
 
 
-def test_ordinal_in_buckets(spark):
-    df = spark.range(500).selectExpr("id", "CAST((id * 7919) % 101 AS DOUBLE) AS v")
-    order = [F.col("v"), F.col("id")]
-    assert stats.ordinal(df, order, "r", buckets=8).select("id", "r").exceptAll(stats.ordinal(df, order, "r").select("id", "r")).count() == 0
+@pytest.mark.parametrize("descending", [False, True])
+def test_ordinal(spark, descending):
+    df = spark.range(500).selectExpr("id", "CASE WHEN id = 7 THEN 0 ELSE ((id * 7919) % 101 - 20) * 1.37D END AS v")
+    got = [r.id for r in stats.ordinal(df, "v", ["id"], "r", descending).orderBy("r").collect()]
+    rows = [(r.v * (-1 if descending else 1), r.id) for r in df.collect()]
+    assert got == [i for _, i in sorted(rows)]
+
+
+def test_tiles(spark):
+    for n in (0, 3, 10, 13):
+        df = table(spark, range(n)) if n else table(spark, [1]).where("1 = 0")
+        got = [r.t for r in stats.tiles(df, "v", ["k"], 4, "t").orderBy("v").collect()]
+        want = [r.t for r in df.withColumn("t", F.ntile(4).over(Window.orderBy("v"))).orderBy("v").collect()]
+        assert got == want
 
 
 def test_nearest_rank_and_change(spark):
-    assert one(spark, stats.nearest_rank(F.array(*map(F.lit, [1, 2, 3, 4])), 0.5)) == 3
+    steps = F.array(*[F.struct(F.lit(u).alias("upto"), F.lit(v).alias("v")) for u, v in ((1, 1), (2, 2), (3, 3), (4, 4))])
+    assert one(spark, stats.nearest_rank(steps, F.lit(4), 0.5)) == 3 and one(spark, stats.nearest_rank(steps, F.lit(4), 1.0)) == 4
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 25.0), ("a", 5, 21.5)], "s string, y int, v double")
     assert df.groupBy("s").agg(*stats.relative_change("v", "y")).first().pct_change == -0.14
 
 
 def test_systematic_sample(spark):
     n, cap = 97, 10
-    got = [int(r.v) for r in stats.systematic_sample(table(spark, range(n)), [F.col("v"), F.col("k")], cap).orderBy("v").collect()]
+    got = [int(r.v) for r in stats.systematic_sample(table(spark, range(n)), "v", ["k"], cap).orderBy("v").collect()]
     assert got == [i * n // cap for i in range(cap)]
-    assert stats.systematic_sample(table(spark, range(5)), [F.col("v")], cap).count() == 5
+    assert stats.systematic_sample(table(spark, range(5)), "v", ["k"], cap).count() == 5
