@@ -8,8 +8,9 @@ last and tiles stay small. Nothing is lost: any order will do.
 A document stays in a tile only if another of like size is there, and of tiles with the same documents one stays.
 Only components are asked for, so a tile need not compare what is already linked. First each tile and size band compares its
 smallest document with the others, which links groups of copies in as many comparisons as members. Then tiles that hold more than
-one component compare the rest across components: documents of a size band with those of the same and the next band (a band's
-sizes differ by the factor t at most), bounding the intersection from above by bit counts of signatures: a signature has the parity
+one component compare the rest across components. Small ones name their pairs of like size, and each distinct pair is
+bounded once; in large ones documents of a size band meet those of the same and the next band (a band's
+sizes differ by the factor t at most). Both bound the intersection from above by bit counts of signatures: a signature has the parity
 of the shingles in each of as many bits as the set has members, so the bits in which two differ are no more than
 the shingles they don't share. Pairs that the bound lets pass are verified on the sorted arrays of hashes.
 
@@ -34,6 +35,8 @@ WORDS = 3
 PERCENT = 90
 HEAT_BITS = 16
 BLOCK = 256
+#: Tiles of at most so many documents name their pairs; signatures go to larger ones.
+SMALL_TILE = 32
 _MULTIPLIERS = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -243,6 +246,39 @@ def _shared(percent: int) -> Callable:
     return run
 
 
+def _pairs_of_small(percent: int) -> Callable:
+    """Pairs of unlike components and like sizes in tiles of at most SMALL_TILE rows, from rows (key, n, id, component) sorted by key and n."""
+
+    def pairs(key: np.ndarray, n: np.ndarray, i: np.ndarray, component: np.ndarray) -> pa.RecordBatch:
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, SMALL_TILE):
+            same = key[d:] == key[:-d]
+            if not same.any():
+                break
+            a = np.flatnonzero(same & (component[d:] != component[:-d]) & (100 * n[:-d] >= percent * n[d:]))
+            found.append(np.sort(np.column_stack((i[a], i[a + d])), axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        both = both[both[:, 0] != both[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last tile may go on
+            if cut:
+                yield pairs(*[x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield pairs(*held)
+
+    return run
+
+
 def _tiles(percent: int) -> Callable:
     """Candidate pairs of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
 
@@ -307,6 +343,7 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     chosen = posts.groupBy("key").agg(*print_).groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key")
     posts = scratch.save(posts.join(chosen, "key", "left_semi"), "tiles")
     scratch.drop("posts")
+    scratch.release()
     step = float(np.log(100 / percent))
     # the first of each band of n, so that a band's sizes differ by the factor percent / 100 at most
     posts = posts.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
@@ -320,11 +357,19 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     labels = components(scratch, links, "star")
     named = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = named.join(mixed, "key").join(maps, ["id", "n"])
+    scratch.release()
+    unlike = scratch.save(named.join(mixed, "key"), "unlike")
+    size = unlike.groupBy("key").agg(F.count("*").alias("size"))
+    unlike = unlike.join(size, "key")
+    small = unlike.where(F.col("size") <= SMALL_TILE).select("key", "n", "id", "component")
+    small = small.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs_of_small(percent), "a long, b long").distinct()
+    small = screen(small.join(pairs, ["a", "b"], "left_anti"), maps, percent)
+    open_ = unlike.where(F.col("size") > SMALL_TILE).join(maps, ["id", "n"])
     row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
     tiles = open_.withColumn("visitor", F.lit(0)).select(*row).union(open_.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
     more = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent), "a long, b long").distinct()
-    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti").union(small).distinct(), "more")
+    scratch.release()
     if not more.isEmpty():
         links = links.union(verify(docs, more, scratch, "rest", words, percent))
         labels = components(scratch, links, "all")
@@ -333,7 +378,7 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     linked = marks.where("n > 0").select("doc_id", *digest).join(grouped, digest)
     alone = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     result = scratch.save(linked.select("doc_id", "n", "component_id", "class_id").union(alone).withColumnRenamed("n", "n_shingles"), "result")
-    for table in ("signatures", "classes", "tiles", "pairs", "more"):
+    for table in ("signatures", "classes", "tiles", "pairs", "unlike", "more"):
         scratch.drop(table)
     return result
 

@@ -36,8 +36,9 @@ def run(spark, rows, words=3, percent=90):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, Scratch(spark, "t"), words, percent).collect())
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 60)])
-def test_equals_brute_force(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "small"), [(3, 90, 32), (3, 90, 0), (5, 80, 32), (5, 80, 3), (1, 60, 0), (1, 60, 32)])
+def test_equals_brute_force(spark, monkeypatch, words, percent, small):
+    monkeypatch.setattr(jaccard, "SMALL_TILE", small)
     rnd = random.Random(words)
     rows = []
     for g in range(12):
