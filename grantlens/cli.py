@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import exprs
-from .operators import grants, graph, portfolio, topics
+from .operators import grants, graph, lookup, portfolio, topics
 from .sources import bulk
 
 
@@ -29,9 +31,21 @@ def show(df: DataFrame, as_json: bool, rows: int) -> None:
         print(f"only the first {rows} rows", file=sys.stderr)
 
 
+COMMANDS = [
+    "build", "search", "get", "pubs", "metrics", "trials", "trial", "productivity", "per-grant", "latency", "foa-types", "concentration", "top-pis", "trend", "mechanisms", "coverage",
+    "graph-stats", "graph-coverage", "neighbors", "redundancy", "translation", "translation-scan", "open-science", "support", "meta-brief", "pulse", "conditions", "condition",
+    "nam", "brief", "report", "benchmarks", "benchmark", "foa", "labels", "mortality", "prevalence",
+]
+#: Tables that a command needs besides awards and links.
+NEEDS = {
+    "metrics": ["metrics"], "trials": ["trials"], "trial": ["trials"], "translation": ["metrics", "citers"], "translation-scan": ["metrics", "citers"], "open-science": ["metrics"],
+    "support": ["metrics"], "meta-brief": ["metrics", "citers"], "labels": ["labels"], "mortality": ["mortality"], "prevalence": ["prevalence"],
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="grantlens", description=__doc__)
-    p.add_argument("command", choices=["build", "search", "get", "pubs", "productivity", "latency", "foa-types", "concentration", "trend", "mechanisms", "coverage", "graph-stats", "neighbors", "redundancy", "brief", "report", "conditions", "benchmarks", "foa"])
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("text", nargs="?", help="search text, grant number, announcement number or title")
     p.add_argument("--store", default=str(bulk.data_dir() / "store"))
     p.add_argument("--awards", nargs="*", default=[], help="CSV files of awards")
@@ -68,7 +82,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     store = bulk.connect(spark, a.store)
     awards, links = store["awards"], store["publinks"]
+    if missing := [t for t in NEEDS.get(a.command, []) if t not in store]:
+        print(f"the store has no table {', '.join(missing)}", file=sys.stderr)
+        return 2
     year = years[0] if years and len(years) == 1 else None
+    if a.command == "meta-brief":
+        print(topics.render(a.text or "all", topics.meta_brief(awards, links, store["metrics"], store["citers"])))
+        return 0
     if a.command in ("brief", "report"):
         scope = awards.where(portfolio.in_scope(a.ic, years, contact=False))
         tables = {k: v for k, v in topics.report(awards, links, a.ic, years).items()} if a.command == "report" and a.ic and years else {"totals": scope.groupBy().count(), "by_year": portfolio.funding_trend(scope), "entities": topics.top_entities(scope), "latency": portfolio.latency_summary(scope, links)}
@@ -78,6 +98,23 @@ def main(argv: list[str] | None = None) -> int:
     made = {
         "search": lambda: grants.search(awards, a.text, years, [a.ic] if a.ic else None, limit=a.rows),
         "get": lambda: grants.get(awards, a.text),
+        "metrics": lambda: lookup.search(store["metrics"], "pmid", a.rows, pmid=a.text),
+        "trials": lambda: lookup.search(store["trials"], "nct_id", a.rows, title=a.text),
+        "trial": lambda: store["trials"].where(store["trials"].nct_id == a.text),
+        "per-grant": lambda: grants.pubs_per_dollar(awards, links, a.floor),
+        "top-pis": lambda: portfolio.top_funded_pis(awards, a.ic, year, a.rows),
+        "graph-coverage": lambda: graph.stratified_coverage(graph.award_nodes(awards), graph.publication_edges(links), "produced", a.by if a.by in ("ic", "mechanism", "age") else "ic", max(years) if years else datetime.now(UTC).year),
+        "translation": lambda: grants.translation_lineage(awards, links, store["metrics"], store["citers"], a.text),
+        "translation-scan": lambda: grants.translation(awards, links, store["metrics"], store["citers"], a.rows),
+        "open-science": lambda: grants.open_science(links, store["metrics"]),
+        "support": lambda: grants.support_vs_impact(awards, links, store["metrics"]),
+        "pulse": lambda: topics.pulse(awards.where(exprs.contains_any("project_title", next((c[2] for c in topics.CONDITIONS if c[0] == a.text), [(a.text or "").lower()]))), years or list(range(2008, 2018))),
+        "condition": lambda: spark.createDataFrame([(a.text,)], "text string").select("text", topics.resolve_condition("text").alias("condition")),
+        "nam": lambda: topics.nam_map(awards.where(exprs.contains_any("project_title", [(a.text or "").lower()])).groupBy("core_project_num").agg(F.min("project_title").alias("t")), "core_project_num", F.col("t")),
+        "benchmark": lambda: topics.checks(awards.where(exprs.contains_any("project_title", [b[2].lower() for b in topics.BENCHMARKS if b[0] == a.text])), next(b[6] for b in topics.BENCHMARKS if b[0] == a.text)),
+        "labels": lambda: lookup.labels_for_indication(store["labels"], a.text or "", "application_number", a.rows),
+        "mortality": lambda: store["mortality"].where(F.col("cause_name") == a.text).orderBy("year"),
+        "prevalence": lambda: lookup.prevalence(store["prevalence"], a.text or ""),
         "pubs": lambda: links.where(links.core_project_num == a.text),
         "productivity": lambda: portfolio.funding_vs_output(awards, links, a.ic, year, a.floor),
         "latency": lambda: portfolio.latency_summary(awards, links, a.ic, years),

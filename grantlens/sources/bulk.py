@@ -49,9 +49,19 @@ def build(spark: SparkSession, awards: list[str], publinks: list[str], root: str
     read_publinks(spark, publinks).write.mode("overwrite").parquet(f"{root}/publinks")
 
 
+#: Tables that a store may have besides awards and links.
+OPTIONAL = ("metrics", "citers", "trials", "labels", "mortality", "prevalence")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def connect(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Open the store: awards, publinks and award_pi (with contact investigator), also as views."""
+    """Open the store: awards, publinks, award_pi (with contact investigator) and the optional tables there are, also as views."""
     tables = {"awards": spark.read.parquet(f"{root}/awards"), "publinks": spark.read.parquet(f"{root}/publinks")}
+    tables |= {t: spark.read.parquet(f"{root}/{t}") for t in OPTIONAL if _exists(spark, f"{root}/{t}")}
     tables["award_pi"] = tables["awards"].withColumn("contact_pi_id", exprs.contact_pi_id("pi_ids")).withColumn("contact_pi_name", exprs.contact_pi_name("pi_names"))
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
