@@ -8,7 +8,7 @@ Scores are products of integers, and are exact. Partial lists of k from each sha
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, neither as query nor as
 candidate; vectors of unequal dimension are filled up with zeros; a row is not its own candidate, nor are other rows with
-its id; ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows; other
+its id; ties go to the smaller id; components and scores beyond 64 bits are the nearest 64-bit number; with fewer than k candidates all are returned; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -99,7 +99,7 @@ class Shard:
                     best[i] = merged[: self.k]
                     if len(best[i]) == self.k:
                         floor[i] = -best[i][-1][0]
-        flat = [(int(i), j, -s) for i, b in zip(qid, best, strict=True) for s, j in b]
+        flat = [(int(i), j, max(-(2**63), min(2**63 - 1, -s))) for i, b in zip(qid, best, strict=True) for s, j in b]
         return pa.RecordBatch.from_arrays([pa.array([f[c] for f in flat], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
 

@@ -38,5 +38,7 @@ def test_awkward_vectors(spark, tmp_path):
     got = sorted(tuple(r) for r in topk.op9_top_k(spark, str(tmp_path)).collect())
     a, b = [25, 51], [128, 128]
     assert got == [(0, 1, 1, a[0] * b[0] + a[1] * b[1]), (0, 2, 150, 0), (150, 1, 0, 0), (150, 2, 1, 0)]
+    spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, -3e38]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/big/embeddings.parquet")
+    assert sorted((r.vec_id, r.score) for r in topk.op9_top_k(spark, f"{tmp_path}/big").collect()) == [(1, 2**63 - 1), (2, 0)]
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/e/embeddings.parquet")
     assert topk.op9_top_k(spark, f"{tmp_path}/e").count() == 0
