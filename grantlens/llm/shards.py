@@ -24,14 +24,37 @@ def whole(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ok, F.lit(False))
 
 
+def spread(shards: int) -> list[int]:
+    """One number for each shard such that hash partitioning into as many partitions puts each in one of its own."""
+
+    def turn(x: int, n: int) -> int:
+        return (x << n | x >> (32 - n)) & 0xFFFFFFFF
+
+    def place(i: int) -> int:  # Spark's hash of an int (Murmur3, seed 42), modulo the partitions
+        h = 42 ^ turn(i * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (turn(h, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF) ^ 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        h ^= h >> 16
+        return (h - (h >> 31 << 32)) % shards
+
+    found: dict[int, int] = {}
+    i = 0
+    while len(found) < shards:
+        found.setdefault(place(i), i)
+        i += 1
+    return [found[k] for k in range(shards)]
+
+
 def visit(rows: DataFrame, queries: DataFrame, shards: int, make: Callable, schema: str) -> DataFrame:
     """Apply make(ids, vectors, extra) -> search once to each shard, and search(ids, vectors) -> RecordBatch to its queries.
 
     rows and queries have (id long, v array<double>, n long). Each row goes to one shard; each query to all. A shard's rows come
     first in its partition, then queries in blocks, so a task holds one shard and one block.
     """
-    own = rows.select("id", "v", "n", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"))
-    ask = queries.select("id", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"))
+    names = F.array(*[F.lit(x) for x in spread(shards)])
+    own = rows.select("id", "v", "n", F.get(names, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).alias("shard"), F.lit(0).alias("kind"))
+    ask = queries.select("id", "v", "n", F.explode(names).alias("shard"), F.lit(1).alias("kind"))
     dealt = own.union(ask).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

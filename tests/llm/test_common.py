@@ -54,3 +54,13 @@ def test_sided(spark):
     small = common.sided(spark.range(10))
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in common.sided(spark.range(10), 5)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_each_shard_has_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    from grantlens.llm.shards import spread
+
+    for n in (1, 2, 7, 30):
+        df = spark.createDataFrame([(x,) for x in spread(n)], "s int").repartition(n, "s")
+        assert df.select(F.spark_partition_id()).distinct().count() == n
