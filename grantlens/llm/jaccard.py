@@ -8,7 +8,7 @@ last and tiles stay small. Nothing is lost: any order will do.
 A document stays in a tile only if another of like size is there, and of tiles with the same documents one stays.
 Only components are asked for, so a tile need not compare what is already linked. First each tile and size band compares its
 smallest document with the others, which links groups of copies in as many comparisons as members. Then tiles that hold more than
-one component compare the rest across components. Small ones name their pairs of like size, and each distinct pair is
+one component compare the rest across components, a few tiles of each document first and then all that still do. Small ones name their pairs of like size, and each distinct pair is
 bounded once; in large ones documents of a size band meet those of the same and the next band (a band's
 sizes differ by the factor t at most). Both bound the intersection from above by bit counts of signatures: a signature has the parity
 of the shingles in each of as many bits as the set has members, so the bits in which two differ are no more than
@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, components, make_room, mix, read, sided, slices, text_bytes, word_hashes
@@ -37,6 +37,8 @@ HEAT_BITS = 16
 BLOCK = 256
 #: Tiles of at most so many documents name their pairs; signatures go to larger ones.
 SMALL_TILE = 32
+#: Tiles of each document that are looked at before all others.
+FEW_TILES = 4
 _MULTIPLIERS = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -328,6 +330,27 @@ def _tiles(percent: int) -> Callable:
     return run
 
 
+def _unlinked(posts: DataFrame, labels: DataFrame, maps: DataFrame, scratch: Scratch, turn: str, tiles_of_each: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of unlike components that share a tile and that signatures let pass."""
+    if tiles_of_each:
+        # the same tiles for like documents: first by hash
+        place = F.row_number().over(Window.partitionBy("id", "n").orderBy(F.xxhash64("key"), "key"))
+        posts = posts.withColumn("place", place).where(F.col("place") <= tiles_of_each).drop("place")
+    named = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    unlike = scratch.save(named.join(mixed, "key"), f"unlike-{turn}")
+    scratch.release()
+    size = unlike.groupBy("key").agg(F.count("*").alias("size"))
+    unlike = unlike.join(size, "key")
+    small = unlike.where(F.col("size") <= SMALL_TILE).select("key", "n", "id", "component")
+    small = small.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs_of_small(percent), "a long, b long").distinct()
+    large = unlike.where(F.col("size") > SMALL_TILE).join(maps, ["id", "n"])
+    row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
+    tiles = large.withColumn("visitor", F.lit(0)).select(*row).union(large.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
+    found = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    return found.union(screen(small, maps, percent))
+
+
 def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -354,31 +377,21 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     scratch.release()
     links = verify(docs, pairs, scratch, "star", words, percent)
     scratch.release()
-    labels = components(scratch, links, "star")
-    named = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    scratch.release()
-    unlike = scratch.save(named.join(mixed, "key"), "unlike")
-    size = unlike.groupBy("key").agg(F.count("*").alias("size"))
-    unlike = unlike.join(size, "key")
-    small = unlike.where(F.col("size") <= SMALL_TILE).select("key", "n", "id", "component")
-    small = small.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs_of_small(percent), "a long, b long").distinct()
-    small = screen(small.join(pairs, ["a", "b"], "left_anti"), maps, percent)
-    open_ = unlike.where(F.col("size") > SMALL_TILE).join(maps, ["id", "n"])
-    row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
-    tiles = open_.withColumn("visitor", F.lit(0)).select(*row).union(open_.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
-    more = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent), "a long, b long").distinct()
-    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti").union(small).distinct(), "more")
-    scratch.release()
-    if not more.isEmpty():
-        links = links.union(verify(docs, more, scratch, "rest", words, percent))
-        labels = components(scratch, links, "all")
-    scratch.release()
+    labels, checked = components(scratch, links, "star"), pairs
+    # a few tiles of each document find most of what is left to link; then all tiles that still hold unlike components
+    for turn, tiles_of_each in (("few", FEW_TILES), ("all", None)):
+        more = _unlinked(posts, labels, maps, scratch, turn, tiles_of_each, percent)
+        more = scratch.save(more.join(checked, ["a", "b"], "left_anti").distinct(), f"more-{turn}")
+        scratch.release()
+        if not more.isEmpty():
+            links, checked = links.union(verify(docs, more, scratch, turn, words, percent)), checked.union(more)
+            labels = components(scratch, links, turn)
+        scratch.release()
     grouped = classes.join(labels, "id", "left").select(*digest, F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     linked = marks.where("n > 0").select("doc_id", *digest).join(grouped, digest)
     alone = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     result = scratch.save(linked.select("doc_id", "n", "component_id", "class_id").union(alone).withColumnRenamed("n", "n_shingles"), "result")
-    for table in ("signatures", "classes", "tiles", "pairs", "unlike", "more"):
+    for table in ("signatures", "classes", "tiles", "pairs", "unlike-few", "unlike-all", "more-few", "more-all"):
         scratch.drop(table)
     return result
 
