@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -79,13 +80,20 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+_trimmed = [0.0]
+
+
 def make_room() -> None:
-    """Let go of what another operator keeps in this worker."""
+    """Let go of what another operator keeps in this worker, and now and then of memory that is free."""
+    if not _held and time.monotonic() < _trimmed[0] + 5:
+        return
     if _held:
         _held.clear()
         gc.collect()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+    _trimmed[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 #: A side of at most so many narrow rows is broadcast; a larger one is shuffled.

@@ -36,8 +36,8 @@ from .common import Scratch, held, read
 CAPACITY = 2048
 END_ID = 1
 SLACK = 64
-#: Words kept in each of two generations.
-MOST_WORDS = 600_000
+#: What stands between white space, and words and signs, kept in each of two generations.
+MOST_WORDS, MOST_PARTS = 280_000, 180_000
 #: White space to str.split, but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer.
@@ -82,7 +82,7 @@ class WordTokenizer:
                 new[w] = _word.findall(w.lower())
             else:  # special tokens' strings and other scripts as the library itself takes them
                 self.words[w] = self._whole(w)
-        if len(self.parts) >= MOST_WORDS:
+        if len(self.parts) >= MOST_PARTS:
             self.parts, self.older_parts = {}, self.parts
         fresh = []
         for part in set().union(*new.values()).difference(self.parts):
