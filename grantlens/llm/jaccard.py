@@ -8,7 +8,7 @@ last and tiles stay small. Nothing is lost: any order will do.
 A document stays in a tile only if another of like size is there, and of tiles with the same documents one stays.
 Only components are asked for, so a tile need not compare what is already linked. First each tile and size band compares its
 smallest document with the others, which links groups of copies in as many comparisons as members. Then tiles that hold more than
-one component compare the rest across components, a few tiles of each document first and then all that still do. Small ones name their pairs of like size, and each distinct pair is
+one component compare the rest across components: first a few tiles of each document, of whose pairs a spanning forest is verified, and then all that still do. Small ones name their pairs of like size, and each distinct pair is
 bounded once; in large ones documents of a size band meet those of the same and the next band (a band's
 sizes differ by the factor t at most). Both bound the intersection from above by bit counts of signatures: a signature has the parity
 of the shingles in each of as many bits as the set has members, so the bits in which two differ are no more than
@@ -281,8 +281,27 @@ def _pairs_of_small(percent: int) -> Callable:
     return run
 
 
-def _tiles(percent: int) -> Callable:
-    """Candidate pairs of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs that join what earlier ones have not joined: no more than there are documents."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            up[y] = x
+            kept.append((a, b))
+    return kept
+
+
+def _tiles(percent: int, forest: bool) -> Callable:
+    """Candidate pairs (or with `forest` a spanning forest of each tile's) of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
 
     def compare(a: list[tuple], b: list[tuple], same: bool) -> list[tuple[int, int]]:
         out = []
@@ -309,6 +328,8 @@ def _tiles(percent: int) -> Callable:
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             pairs = sorted({p for p in pairs if p[0] != p[1]})
+            if forest:
+                pairs = _forest(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -347,7 +368,7 @@ def _unlinked(posts: DataFrame, labels: DataFrame, maps: DataFrame, scratch: Scr
     large = unlike.where(F.col("size") > SMALL_TILE).join(maps, ["id", "n"])
     row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
     tiles = large.withColumn("visitor", F.lit(0)).select(*row).union(large.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
-    found = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    found = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent, bool(tiles_of_each)), "a long, b long").distinct()
     return found.union(screen(small, maps, percent))
 
 
