@@ -71,7 +71,8 @@ def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, _scratch(spark, "packing"), packing.default_tokenizer())
+    # fewer words are kept than by the operator alone: executors' heaps have grown by now
+    return packing.pack(docs, _scratch(spark, "packing"), packing.default_tokenizer(), keep=200_000)
 
 
 STAGES = [

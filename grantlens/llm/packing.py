@@ -36,8 +36,8 @@ from .common import Scratch, held, read
 CAPACITY = 2048
 END_ID = 1
 SLACK = 64
-#: What stands between white space, and words and signs, kept in each of two generations.
-MOST_WORDS, MOST_PARTS = 280_000, 180_000
+#: Encoded words kept in each of two generations, of what stands between white space and of words and signs: memory against time.
+KEEP_WORDS = 600_000
 #: White space to str.split, but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer.
@@ -58,7 +58,8 @@ class WordTokenizer:
     there is taken apart into words and signs, which are kept as well.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP_WORDS):
+        self.keep = keep
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # batches are small, and tasks use the cores
         from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ class WordTokenizer:
                 new[w] = _word.findall(w.lower())
             else:  # special tokens' strings and other scripts as the library itself takes them
                 self.words[w] = self._whole(w)
-        if len(self.parts) >= MOST_PARTS:
+        if len(self.parts) >= self.keep:
             self.parts, self.older_parts = {}, self.parts
         fresh = []
         for part in set().union(*new.values()).difference(self.parts):
@@ -109,7 +110,7 @@ class WordTokenizer:
                 self.parts[part] = self._whole(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) >= MOST_WORDS:
+        if len(self.words) >= self.keep:
             self.words, self.older = {}, self.words
         split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         self._fill(set().union(*filter(None, split)).difference(self.words))
@@ -117,8 +118,8 @@ class WordTokenizer:
         return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    return held((WordTokenizer, path), lambda: WordTokenizer(path))
+def tokenizer(path: str, keep: int = KEEP_WORDS) -> WordTokenizer:
+    return held((WordTokenizer, path, keep), lambda: WordTokenizer(path, keep))
 
 
 @lru_cache(4096)
@@ -181,7 +182,7 @@ def _first_id(round_no: int) -> int:
     return round_no << 58 | TaskContext.get().partitionId() << 34
 
 
-def _tokenise_and_fill(path: str, capacity: int) -> Callable:
+def _tokenise_and_fill(path: str, capacity: int, keep: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and walking the words kept costs much
         try:
@@ -190,7 +191,7 @@ def _tokenise_and_fill(path: str, capacity: int) -> Callable:
             gc.enable()
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, bins = tokenizer(path), Bins(capacity, _first_id(0))
+        t, bins = tokenizer(path, keep), Bins(capacity, _first_id(0))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
@@ -244,10 +245,10 @@ def _first_fit(capacity: int) -> Callable:
     return run
 
 
-def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = CAPACITY, keep: int = KEEP_WORDS) -> DataFrame:
     """The pieces of docs (doc_id, text): PIECE columns."""
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text")
-    one = scratch.save(rows.mapInArrow(_tokenise_and_fill(path, capacity), PIECE), "pieces")
+    one = scratch.save(rows.mapInArrow(_tokenise_and_fill(path, capacity, keep), PIECE), "pieces")
     done = F.col("sequence_id").isNotNull()
     by_class = one.where(~done).withColumn("class", F.floor(F.lit(capacity) / F.col("length")))
     two = scratch.save(by_class.repartition("class").drop("class").mapInArrow(_fill_again(capacity), PIECE), "again")
