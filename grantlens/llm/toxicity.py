@@ -6,7 +6,8 @@ costs both the same, and inflections of rare expressions share what their stems
 
 A document's evidence is the difference of the two log-likelihoods: normalised by its length, and for its three most toxic
 words. A logistic regression on these gives the score; it is fitted on a third of the labelled rows, whose n-grams the class counts
-leave out.
+leave out. Where a class has more than ROWS_PER_CLASS rows, each row used counts for those that it stands for, so the classes keep
+their proportions.
 
 Texts are lower-cased, punctuation counts as space, and of each character 12 bits are kept. Class counts come from at most ROWS_PER_CLASS labelled rows of
 each class; the shared counts come from every document and grow with the corpus. The model that is sent to
@@ -15,7 +16,7 @@ no evidence.
 
 Edge cases: null and empty texts score by their length alone; texts of any length are read whole; repeated rows score alike; ids
 without label, labels without document and null labels are not used; when a class has no rows, every score is the
-share of toxic rows among those used (0 without any); an empty table gives no rows; other columns are ignored.
+weighted share of toxic rows among those used (0 without any); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, make_room, mix, read, slices, text_bytes
-from .labels import logistic, sample, scored, verdicts
+from .labels import class_weights, logistic, sample, scored, verdicts
 
 THRESHOLD = 0.3
 ROWS_PER_CLASS = 12_000
@@ -150,13 +151,16 @@ class Model:
         mean, w1, w2, w3, n = evidence.T
         return np.column_stack((np.clip(mean, -0.1, 0.3) * 20, np.maximum(mean, 0) * 20, w1 / 5, w2 / 5, w3 / 5, n, w1 / 5 * n, np.minimum(w1, 12) / 5, np.maximum(w1 - 10, 0) / 5))
 
-    def fit(self, evidence: np.ndarray, y: np.ndarray) -> None:
+    def fit(self, evidence: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """The regression on rows of evidence; counts is how many rows each stands for, one by default."""
+        counts = np.ones(len(y)) if counts is None else counts
         if len(y):
-            self.base = float(y.mean())
+            self.base = float(np.average(y, weights=counts))
         if len(y) and 0 < y.sum() < len(y):
             x = self.design(evidence)
-            self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-            self.weights = logistic((x - self.mean) / self.scale, y, RIDGE)
+            self.mean = np.average(x, axis=0, weights=counts)
+            self.scale = np.maximum(np.sqrt(np.average((x - self.mean) ** 2, axis=0, weights=counts)), 1e-6)
+            self.weights = logistic((x - self.mean) / self.scale, y, RIDGE, counts=counts)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
@@ -177,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: in
     table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary"), F.sum("n").alias("n")), "grams", 4000)
     model = Model(*_slots(_ratios(table), table_bits), table_bits)
     check = use.where("fold = 3").select("text", "label").mapInArrow(_evidence_of(model), "e array<double>, label int").collect()
-    model.fit(np.array([r.e for r in check]).reshape(-1, 5), np.array([r.label for r in check], float))
+    y = np.array([r.label for r in check], int)
+    model.fit(np.array([r.e for r in check]).reshape(-1, 5), y.astype(float), class_weights(labels, "toxic", rows_per_class)[y])
     for name in ("grams", "toxic-sample"):
         scratch.drop(name)
     return model

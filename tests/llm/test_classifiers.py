@@ -60,3 +60,24 @@ def test_held_out_accuracy(spark, name, label, least):
     assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= least * len(held)
+
+
+def test_toxicity_keeps_class_proportions(spark):
+    # 300 toxic rows among 3600: a cap of 300 rows a class uses all of them and every eleventh of the others
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([f"word{rng.integers(50)}" for _ in range(20)] + ["vile"] * int(rng.random() < (0.7 if i % 12 == 0 else 0.1)))) for i in range(3600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(i % 12 == 0)) for i in range(3600)], "doc_id long, toxic int")
+    got = [toxicity.score(docs, toxicity.fit(docs, table, Scratch(spark, "t"), rows_per_class=most)).toPandas().score.mean() for most in (300, 10_000)]
+    assert got[1] == pytest.approx(1 / 12, abs=0.05)
+    assert got[0] == pytest.approx(got[1], abs=0.08)
+
+
+def test_counted_rows_are_repeated_rows():
+    rng = np.random.default_rng(5)
+    evidence, y = rng.normal(size=(60, 5)) * 0.1, (np.arange(60) % 3 == 0).astype(float)
+    counts = np.where(y == 1, 1, 7)
+    one, other = (toxicity.Model(np.zeros(0, int), np.zeros(0, np.uint8), np.zeros(0), 4) for _ in range(2))
+    one.fit(evidence, y, counts)
+    other.fit(np.repeat(evidence, counts, axis=0), np.repeat(y, counts))
+    assert one.base == pytest.approx(other.base) and one.weights == pytest.approx(other.weights, abs=1e-6)
