@@ -10,9 +10,10 @@ leave out. Where a class has more than ROWS_PER_CLASS rows, each row used counts
 their proportions.
 
 Texts are lower-cased, punctuation counts as space, and of each character 12 bits are kept. Class counts come from at most ROWS_PER_CLASS labelled rows of
-each class; the shared counts come from every document and grow with the corpus. The model that is sent to
-executors has at most 2**TABLE_BITS entries: of n-grams in one place, the most frequent is kept, and others count as
-no evidence.
+each class; the shared counts come from every document and grow with the corpus. An n-gram that neither class has seen has a ratio
+that follows from its first four characters alone, and without evidence if neither class has seen those. So the model that is sent to
+executors holds every n-gram and every context of the labelled rows used, and loses none: it grows with their text, not with the
+corpus. They are found by a hash index of 2**TABLE_BITS places, or more where there are more entries.
 
 Edge cases: null and empty texts score by their length alone; texts of any length are read whole; repeated rows score alike; ids
 without label, labels without document and null labels are not used; when a class has no rows, every score is the
@@ -40,6 +41,8 @@ DISCOUNT = 0.75
 RIDGE = 0.1
 _fold = np.arange(1 << BITS, dtype=np.uint64)
 _fold[[c for c in b" \t\n\v\f\r.,!?;:|\"()"]] = 32
+#: marks a key that is a context
+_CONTEXT = np.uint64(1 << BITS * ORDER)
 _SPACE, _LAST = np.uint64(32), np.uint64((1 << BITS) - 1)
 #: n-grams in memory before a task sums them up
 _HELD = 1 << 21
@@ -110,21 +113,38 @@ def _rows(label: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 class Model:
-    """A bounded hash table of log-likelihood ratios, and the weights of the final regression."""
+    """The log-likelihood ratios of n-grams and contexts by an index of their hashes, and the weights of the final regression."""
 
-    def __init__(self, slot: np.ndarray, check: np.ndarray, ratio: np.ndarray, bits: int):
-        self.bits = bits
-        self.ratio = np.zeros(1 << bits, np.float32)
-        self.check = np.zeros(1 << bits, np.uint8)
-        self.ratio[slot], self.check[slot] = ratio, check
+    def __init__(self, key: np.ndarray, ratio: np.ndarray, bits: int):
+        self.bits = max(bits, len(key).bit_length())
+        h = mix(key)
+        order = np.argsort(h)
+        # entries stand in the order of their hashes, those of place i from start[i]
+        self.key, self.ratio = key[order], np.concatenate((ratio[order], [0])).astype(np.float32)
+        self.start = np.searchsorted(h[order] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.weights: np.ndarray | None = None
         self.mean = self.scale = None
         self.base = 0.0
 
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Where each key's entry is; -1 without one."""
+        slot = (mix(key) >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        found = np.full(len(key), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = self.key[at[todo]] == key[todo]
+            found[todo[same]] = at[todo[same]]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return found
+
     def ratios(self, key: np.ndarray) -> np.ndarray:
-        h = mix(key)
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        return np.where(self.check[slot] == (h & np.uint64(255)).astype(np.uint8), self.ratio[slot], np.float32(0))
+        at = self.places(key)
+        unseen = np.flatnonzero(at < 0)
+        at[unseen] = self.places((key[unseen] >> np.uint64(BITS)) | _CONTEXT)
+        return self.ratio[at]  # the last is 0
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """For each row: the mean ratio, those of its three most toxic words, and the log of its length."""
@@ -178,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: in
     label = F.when(F.col("fold") < 2, F.col("label")).otherwise(F.lit(-1))
     counted = use.select("text", label.cast("int").alias("label")).mapInArrow(_counts, "gram long, label int, n long")
     per = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary"), F.sum("n").alias("n")), "grams", 4000)
-    model = Model(*_slots(_ratios(table), table_bits), table_bits)
+    table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary")), "grams", 4000)
+    entries = _ratios(table).toArrow()  # n-grams and contexts of the rows chosen
+    model = Model(entries.column("key").to_numpy().astype(np.uint64), entries.column("ratio").to_numpy(), table_bits)
     check = use.where("fold = 3").select("text", "label").mapInArrow(_evidence_of(model), "e array<double>, label int").collect()
     y = np.array([r.label for r in check], int)
     model.fit(np.array([r.e for r in check]).reshape(-1, 5), y.astype(float), class_weights(labels, "toxic", rows_per_class)[y])
@@ -189,35 +210,28 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: in
 
 
 def _ratios(table: DataFrame) -> DataFrame:
-    """(gram, n, ratio): the log of how much likelier each n-gram's last character is for the toxic class."""
-    counts = table.select("gram", "n", "toxic", "ordinary", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND((1 << BITS * BACKOFF) - 1).alias("low"))
+    """(key, ratio): the log of how much likelier its last character is for the toxic class, for each n-gram that a class has seen;
+    and of how much likelier an unseen one is, for each context."""
+    counts = table.select("gram", "toxic", "ordinary", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND((1 << BITS * BACKOFF) - 1).alias("low"))
     ends = counts.groupBy("low").agg(F.count("*").alias("kinds")).withColumn("history", F.shiftright("low", BITS))
     after = ends.groupBy("history").agg(F.sum("kinds").alias("all_kinds"))
     backoff = ends.join(after, "history").select("low", (F.col("kinds") / F.col("all_kinds")).alias("shared"))
+    grams = counts.where("toxic + ordinary > 0")
     seen = lambda c: F.sum((F.col(c) > 0).cast("int"))
     sums = [f(c).alias(f"{c}_{name}") for c in ("toxic", "ordinary") for name, f in (("sum", F.sum), ("kinds", seen))]
-    context = counts.groupBy("context").agg(*sums).where("toxic_sum + ordinary_sum > 0")
-    rows = counts.join(context, "context").join(backoff, "low")
+    context = grams.groupBy("context").agg(*sums)
+    rows = grams.join(context, "context").join(backoff, "low")
 
     def chance(c: str) -> Column:
         kept = F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
         return F.when(F.col(f"{c}_sum") > 0, (kept + DISCOUNT * F.col(f"{c}_kinds") * F.col("shared")) / F.col(f"{c}_sum")).otherwise(F.col("shared"))
 
-    return rows.select("gram", "n", F.log(chance("toxic") / chance("ordinary")).cast("float").alias("ratio"))
-
-
-def _slots(ratios: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most one n-gram for each place of the table: the most frequent."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int32)), pa.array((h & np.uint64(255)).astype(np.int16)), batch.column(0), batch.column(1), batch.column(2)], names=["slot", "check", "gram", "n", "ratio"])
+    def unseen(c: str) -> Column:
+        """chance of an n-gram that the class has not seen, without the factor `shared` that both classes have."""
+        return F.when(F.col(f"{c}_sum") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_sum")).otherwise(F.lit(1.0))
 
-    rows = ratios.where("abs(ratio) > 0.01").mapInArrow(place, "slot int, check short, gram long, n long, ratio float")
-    best = rows.groupBy("slot").agg(F.max_by(F.struct("check", "ratio"), F.struct("n", "gram")).alias("best")).select("slot", "best.check", "best.ratio")
-    table = best.toArrow()
-    return tuple(table.column(i).to_numpy() for i in range(3))
+    ratio = lambda f: F.log(f("toxic") / f("ordinary")).cast("float").alias("ratio")
+    return rows.select(F.col("gram").alias("key"), ratio(chance)).union(context.select(F.col("context").bitwiseOR(1 << BITS * ORDER).alias("key"), ratio(unseen)))
 
 
 def _evidence_of(model: Model) -> Callable:
@@ -231,7 +245,7 @@ def _evidence_of(model: Model) -> Callable:
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """docs with the score of each text, all columns kept or (doc_id, score)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 5 bytes for each of 2**table_bits places
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes for each entry and 4 for each place
     return scored(docs, ["doc_id", "text"], lambda: lambda batch: sent.value.score(batch.column(1).cast(pa.string())), keep)
 
 

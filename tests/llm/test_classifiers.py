@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,7 +78,44 @@ def test_counted_rows_are_repeated_rows():
     rng = np.random.default_rng(5)
     evidence, y = rng.normal(size=(60, 5)) * 0.1, (np.arange(60) % 3 == 0).astype(float)
     counts = np.where(y == 1, 1, 7)
-    one, other = (toxicity.Model(np.zeros(0, int), np.zeros(0, np.uint8), np.zeros(0), 4) for _ in range(2))
+    one, other = (toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 4) for _ in range(2))
     one.fit(evidence, y, counts)
     other.fit(np.repeat(evidence, counts, axis=0), np.repeat(y, counts))
     assert one.base == pytest.approx(other.base) and one.weights == pytest.approx(other.weights, abs=1e-6)
+
+
+def test_no_gram_is_evicted(spark):
+    # a table of few places, and frequent n-grams that no labelled row holds
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"word{rng.integers(300)}" for _ in range(40)) + (" vile" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"word{rng.integers(5000)}" for _ in range(200))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, table, Scratch(spark, "t"), table_bits=4)
+    # the same by hand: counts of each class, backoff counts of all documents
+    count, every = (Counter(), Counter()), set()
+    for i, text in rows:
+        keys = toxicity.grams([text])[0].tolist()
+        every.update(keys)
+        if i < 200 and zlib.crc32(str(i).encode()) % 4 < 2:
+            count[int(i % 4 == 0)].update(keys)
+    bits, d = toxicity.BITS, toxicity.DISCOUNT
+    ends = Counter(k & ((1 << 2 * bits) - 1) for k in every)
+    after = Counter()
+    for low, n in ends.items():
+        after[low >> bits] += n
+    total, kinds = (Counter(), Counter()), (Counter(), Counter())
+    for c in (0, 1):
+        for k, n in count[c].items():
+            total[c][k >> bits] += n
+            kinds[c][k >> bits] += 1
+
+    def chance(c, k):
+        shared = ends[low := k & ((1 << 2 * bits) - 1)] / after[low >> bits]
+        n = total[c][k >> bits]
+        return (max(count[c][k] - d, 0) + d * kinds[c][k >> bits] * shared) / n if n else shared
+
+    keys = sorted(every)
+    want = [np.log(chance(1, k) / chance(0, k)) for k in keys]
+    assert model.ratios(np.array(keys, np.uint64)) == pytest.approx(np.array(want), abs=1e-5)
+    assert len(keys) > 500 and any(k not in count[0] and k not in count[1] and w for k, w in zip(keys, want, strict=True))
