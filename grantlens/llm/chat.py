@@ -5,7 +5,7 @@ arguments} makes calls; a tool's text that is a JSON object with `tool_call_id`
 
 Calls and results are joined by (conv_id, identifier). Arguments may hold {"$result": identifier} and then depend on that call's
 result. Messages are ordered topologically: by turn, but a result after its call and a call after the results that it uses,
-level by level; calls on a cycle keep their turn and are marked. Arguments are validated against the schemas given for tool names.
+level by level; calls on a cycle, or that use one which is, keep their turn and are marked. Chains may have any length. Arguments are validated against the schemas given for tool names.
 Each message is serialised as canonical JSON: keys sorted, no spaces, UTF-8, no NaN.
 
 status: message, call, result, orphan (a result without a call), invalid (a call whose arguments fail their schema, or with an
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 RUN_OF_TURNS = 256
-MOST_LEVELS = 64
+#: levels are found within blocks of RUN_OF_TURNS turns, then in blocks of twice as many each round, up to this power of two
+MOST_DOUBLINGS = 8
+#: rows in memory before a task finds levels, beside those of one block
+_HELD = 50_000
 _types = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -125,6 +128,58 @@ def parsed(messages: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("conv_id", "turn", "role", "text")).mapInArrow(run, SCHEMA)
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the calls that use known results or, by way of calls of their block, nothing else.
+
+    Rows (conv_id, block, id, need, level, need_ready, own) are in the order of blocks, and a call's rows are of one block.
+    """
+    names = ["conv_id", "id", "level", "ready", "need_ready"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        waits: dict[tuple, int] = {}
+        users: dict[tuple, list[tuple]] = {}
+        best: dict[tuple, tuple] = {}  # the level and the turn that needs give a call
+        turns = {}
+
+        def meet(call: tuple, level: int, ready: int | None) -> None:
+            before = best.get(call, (-1, None))
+            best[call] = (max(before[0], level), max((t for t in (before[1], ready) if t is not None), default=None))
+
+        for conv, block, i, need, level, ready, own in rows:
+            call = (conv, block, i)
+            turns[call] = own
+            waits.setdefault(call, 0)
+            if level is None:
+                waits[call] += 1
+                users.setdefault((conv, block, need), []).append(call)
+            else:
+                meet(call, level, ready)
+        free = [call for call, n in waits.items() if n == 0]
+        out = []
+        for call in free:  # grows meanwhile
+            level, need_ready = best[call]
+            ready = max((t for t in (turns[call], need_ready) if t is not None), default=None)
+            out.append((call[0], call[2], level + 1, ready, need_ready))
+            for user in users.get(call, ()):
+                meet(user, level + 1, ready)
+                waits[user] -= 1
+                if waits[user] == 0:
+                    free.append(user)
+        columns = zip(*out, strict=True) if out else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if len(rows) >= _HELD and row[:2] != rows[-1][:2]:
+                yield solve(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield solve(rows)
+
+
 def link(messages: DataFrame, scratch: Scratch, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, role, position, status, call_ids, problems, json) for each message."""
     rows = scratch.save(parsed(messages, schemas), "parsed")
@@ -139,14 +194,19 @@ def link(messages: DataFrame, scratch: Scratch, schemas: dict[str, dict] | None
     level = linked.join(needs, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.greatest("call_turn", "result_turn").alias("ready"))
     level = scratch.save(level, "level-0")
     if not needs.isEmpty():
-        n = level.count()
-        for i in range(1, MOST_LEVELS):
+        level = level.withColumn("need_ready", F.lit(None).cast("long"))
+        own = linked.select("conv_id", "id", "call_turn", F.greatest("call_turn", "result_turn").alias("own"))
+        total, n, i = linked.count(), level.count(), 0
+        while n < total:
+            i += 1
             known = level.select("conv_id", F.col("id").alias("need"), "level", F.col("ready").alias("need_ready"))
-            todo = needs.join(level, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "need"], "left")
-            done = todo.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("level").alias("k"), (F.max("level") + 1).alias("level"), F.max("need_ready").alias("need_ready")).where("n = k")
-            done = done.join(linked, ["conv_id", "id"]).select("conv_id", "id", "level", F.greatest("call_turn", "result_turn", "need_ready").alias("ready"), "need_ready")
-            level = scratch.save(level.unionByName(done, allowMissingColumns=True) if i == 1 else level.unionByName(done), f"level-{i}")
-            if (m := level.count()) == n:
+            todo = needs.join(level, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "need"], "left").join(own, ["conv_id", "id"])
+            todo = todo.withColumn("block", F.floor(F.col("call_turn") / (RUN_OF_TURNS << min(i - 1, MOST_DOUBLINGS))))
+            blocks = todo.select("conv_id", "block", "id", "need", "level", "need_ready", "own").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block")
+            done = blocks.mapInArrow(_levels, "conv_id long, id string, level int, ready long, need_ready long")
+            level = scratch.save(level.unionByName(done), f"level-{i}")
+            scratch.drop(f"level-{i - 1}")
+            if (m := level.count()) == n:  # a call that is on no cycle and uses none would have got a level
                 break
             n = m
     if "need_ready" not in level.columns:

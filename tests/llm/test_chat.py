@@ -55,6 +55,24 @@ def test_empty_and_long(spark):
     assert got.where("position <> turn").count() == 0 and got.count() == 3000
 
 
+def test_long_chains(spark):
+    n = 200
+    use = lambda k: call((f"c{k}", "add", {"a": {"$result": f"c{k - 1}"} if k else 1}))
+    rows = [r for k in range(n) for r in ((1, 2 * k, "assistant", use(k)), (1, 2 * k + 1, "tool", result(f"c{k}")))]
+    rows += [(2, n - k, "assistant", use(k)) for k in range(n)]  # each uses a later call
+    rows += [(3, 3000 * (k % 2) + k, "assistant", use(k)) for k in range(n)]  # each uses a call far away
+    rows += [(3, 7000 + k, "assistant", call((f"d{k}", "add", {"a": [{"$result": f"d{(k + 1) % 3}"}, {"$result": "c9"}]}))) for k in range(3)]  # a cycle
+    rows += [(3, 7003, "assistant", call(("e", "add", {"a": {"$result": "d0"}})))]  # uses it
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark, "t")).collect()
+    assert len(got) == len(rows)
+    for conv in (1, 2, 3):
+        one = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in one] == list(range(len(one)))
+        assert [r.call_ids[0] for r in one if r.status == "call"] == [f"c{k}" for k in range(n)]
+        assert [r.call_ids[0] for r in one if r.status == "cyclic"] == (["d0", "d1", "d2", "e"] if conv == 3 else [])
+    assert [r.turn for r in sorted(got, key=lambda r: r.position) if r.conv_id == 1] == list(range(2 * n))
+
+
 def test_canonical():
     assert chat.canonical({"b": 1, "a": "é\n"}) == '{"a":"é\\n","b":1}'
     assert chat.problems({"type": "integer", "minimum": 2}, 1) and not chat.problems({"type": "number"}, 1.5)
