@@ -8,8 +8,8 @@ is two Parquet tables, which every Spark store can hold:
   and a row whose bytes do not match its digests raises.
 * headers (page_id, sha256, record_type, refers_to, header): the header block of each record byte for byte.
 
-`read_archive` joins the two and gives back whole records; columns that are not asked for are pruned, so statistics on
-records never carry payloads through the join.
+`read_archive` joins the two and gives back whole records; columns that are not asked for are pruned.
+`described` reads type, reference, length and digest from the bytes of whole records, so payloads go through the join.
 
 Edge cases: null html is an empty payload (0 bytes); a null url gives an empty target; repeated page_ids stay separate rows
 (each row whose page_id is the smallest of its payload is a response); rows without a
@@ -115,12 +115,35 @@ def parse_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         stream.read(4)
 
 
+def described(back: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as the bytes of whole records say.
+
+    The header block is what stands before the first empty line. A Content-Length other than the block's or a digest other than the
+    payload's raises. A revisit's block is empty; its payload's length is that of the payload it refers to.
+    """
+    head = F.substring_index(F.col("record_bytes").cast("string"), CRLF * 2, 1)
+    rows = back.select("page_id", "n_bytes", "sha1", F.length("record_bytes").alias("whole"), head.alias("head"))
+    field = lambda name, value="([^\r]*)": F.regexp_extract("head", f"\r\n{name}: {value}", 1)
+    kind, length, digest = field("WARC-Type"), field("Content-Length").cast("long"), field("WARC-Payload-Digest", "sha1:([^\r]*)")
+    # two line ends after the header, two after the block
+    right = length.eqNullSafe(F.col("whole") - F.octet_length("head") - 4 * len(CRLF)) & (digest == base32_of_sha1(F.col("sha1")))
+    right &= (kind == "revisit") | (length == F.col("n_bytes"))
+    wrong = F.raise_error(F.concat(F.lit("header does not match its record: "), F.col("head")))
+    refers = F.nullif(field("WARC-Refers-To", "<urn:page:([^>]*)>"), F.lit("")).cast(back.schema["refers_to"].dataType)
+    return rows.select(
+        "page_id",
+        F.when(kind == "revisit", F.col("n_bytes")).otherwise(length).alias("payload_bytes"),
+        F.when(right, digest).otherwise(wrong).alias("payload_digest"),
+        kind.alias("record_type"),
+        refers.alias("refers_to"),
+    )
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the archive of all pages, read it back, and report each record."""
+    """Write the archive of all pages, read it back, and report what the bytes of each record say."""
     scratch = Scratch(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), scratch)
-    back = read_archive(spark, scratch.path("headers"), scratch.path("payloads"))
-    return back.select("page_id", F.col("n_bytes").alias("payload_bytes"), base32_of_sha1(F.col("sha1")).alias("payload_digest"), "record_type", "refers_to")
+    return described(read_archive(spark, scratch.path("headers"), scratch.path("payloads")))
 
 
 def _sql() -> str:

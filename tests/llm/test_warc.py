@@ -55,3 +55,21 @@ def test_damage_is_noticed(spark):
 
 def test_empty(spark):
     assert archive(spark, [])[1].count() == 0
+
+
+def test_report_comes_from_header_bytes(spark, monkeypatch, tmp_path):
+    spark.createDataFrame(ROWS, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    kinds = lambda: sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op1_warc(spark, str(tmp_path)).collect())
+    assert kinds() == [(0, 4, "response", None), (3, 9, "response", None), (5, 9, "revisit", 3), (9, 0, "response", None), (10, 0, "revisit", 9), (11, 100_000, "response", None), (12, 9, "revisit", 3), (12, 9, "revisit", 3)]
+    made = warc.records
+
+    def changed(old, new):
+        header = F.encode(F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new)), "UTF-8")
+        monkeypatch.setattr(warc, "records", lambda *a, **k: made(*a, **k).withColumn("header", header))
+
+    changed("Refers-To: <urn:page:3>", "Refers-To: <urn:page:77>")
+    assert [k[3] for k in kinds()] == [None, None, 77, None, 9, None, 77, 77]
+    for old, new in (("Content-Length: 9", "Content-Length: 8"), ("Digest: sha1:", "Digest: sha1:A"), ("WARC-Type: revisit", "WARC-Type: response")):
+        changed(old, new)
+        with pytest.raises(Exception, match="header does not match"):
+            kinds()
