@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import hashlib
+import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -27,13 +31,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 class Scratch:
     """Parquet tables in the shared folder of spark.checkpoint.dir, which cut lineage and outlive executors.
 
-    Where the session names no folder (tests), a temporary one is used and set.
+    Where a local session (tests) names no folder, a temporary one is used and set, and removed at the end. On a cluster the folder
+    must be named. The tables that a returned plan reads stay until clear() or until the folder is emptied.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get(CHECKPOINT_CONF, None)
         if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='grantlens-')}"
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="grantlens-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = f"file://{own}"
             spark.conf.set(CHECKPOINT_CONF, base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -64,8 +73,9 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans that are finished with."""
+        """Let Spark's cleaner delete shuffle files and broadcasts of plans that are finished with."""
         gc.collect()
+        give_back()
         self.spark._jvm.System.gc()
 
 
@@ -91,6 +101,11 @@ def make_room() -> None:
         _held.clear()
         gc.collect()
     _trimmed[0] = time.monotonic()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
@@ -108,32 +123,42 @@ def sided(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     """(id, component_id) of each vertex of edges (a, b): the smallest id that it reaches.
 
-    Alternating large-star and small-star rounds. Minima are taken by partial aggregation and joined back, so a vertex
-    with very many neighbours is never gathered in one task. Each round is written to scratch.
+    Alternating large-star and small-star rounds until every component is a star about its smallest id. Minima are taken by
+    partial aggregation and joined back, so a vertex with very many neighbours is never gathered in one task. Each round is
+    written to scratch.
     """
-    spark = scratch.spark
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # within a partition a spanning forest holds the same components with fewer edges
-    forest = both.mapInArrow(_forest, "a long, b long").distinct()
-    now, mark = scratch.save(forest, f"{tag}-0"), None
-    for i in range(1, 64):
+    now, i = scratch.save(both.mapInArrow(_forest, "a long, b long").distinct(), f"{tag}-0"), 0
+    while not _all_stars(now):
         pair = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
         und = pair.union(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = und.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = und.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low2.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        new = scratch.save(small, f"{tag}-{i}")
+        now, i = scratch.save(small, f"{tag}-{i + 1}"), i + 1
         scratch.drop(f"{tag}-{i - 1}")
-        now = new
-        row = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if mark == (row.n, row.x) or row.n == 0:
-            break
-        mark = (row.n, row.x)
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether no vertex of edges (a, b), a > b, has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
+    return ends.groupBy("e.v").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
+def joined_components(scratch: Scratch, labels: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+    """labels (id, component_id) after further edges (a, b): only the components that the edges join are worked on."""
+    named = lambda end: F.coalesce(F.col(f"{end}_component"), F.col(end)).alias(end)
+    side = lambda end: labels.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_component"))
+    between = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(named("a"), named("b"))
+    new = components(scratch, between, f"{tag}-between")
+    moved = labels.join(new.select(F.col("id").alias("component_id"), F.col("component_id").alias("now")), "component_id", "left")
+    return scratch.save(moved.select("id", F.coalesce("now", "component_id").alias("component_id")).union(new).distinct(), f"{tag}-joined")
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of each batch that union-find needs, in blocks of bounded size."""
     for batch in batches:
@@ -220,16 +245,34 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums whose differences are, times a power of the base, hashes of substrings."""
+    """Sums whose differences are, times a power of the base, hashes of substrings: cheap for every substring of one length, but
+    unequal substrings can be built that share them, so what they find equal has to be compared."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+#: Spans longer than this are hashed one by one.
+_LONG_SPAN = 64
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of data: eight bytes at a time through the finaliser, BLAKE2b for long ones."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + _BASE)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = np.flatnonzero(size <= _LONG_SPAN) if len(size) and size.max() > _LONG_SPAN else np.arange(len(size))
+    for k in range(0, _LONG_SPAN, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        h[left] = mix((h[left] ^ (at_byte[start[left] + k] & _KEPT[np.minimum(size[left] - k, 8)])) * _BASE)
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +291,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     """Hash, row, start and end of each word of the lower-cased rows that bounds delimit in data."""
     starts, ends = word_spans(data, bounds)
     rows = np.searchsorted(bounds, starts, "right") - 1
-    return span_hash(prefix_hash(data), starts, ends), rows, starts, ends
+    return span_hash(data, starts, ends), rows, starts, ends
 
 
 def batches_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -10,9 +10,10 @@ Only components are asked for, so a tile need not compare what is already linked
 smallest document with the others, which links groups of copies in as many comparisons as members. Then tiles that hold more than
 one component compare the rest across components: first a few tiles of each document, of whose pairs a spanning forest is verified, and then all that still do. Small ones name their pairs of like size, and each distinct pair is
 bounded once; in large ones documents of a size band meet those of the same and the next band (a band's
-sizes differ by the factor t at most). Both bound the intersection from above by bit counts of signatures: a signature has the parity
+sizes differ by the factor t at most), block by block. Both bound the intersection from above by bit counts of signatures: a signature has the parity
 of the shingles in each of as many bits as the set has members, so the bits in which two differ are no more than
-the shingles they don't share. Pairs that the bound lets pass are verified on the sorted arrays of hashes.
+the shingles they don't share. Pairs that the bound lets pass are verified on the sorted arrays of hashes, and those that pass
+this on the shingles' words themselves, so no link rests on a hash. Sets are taken for equal (one class) by size and 128 bits of digest.
 
 Edge cases: null and empty texts and texts without words have an empty set and link with nothing; texts of one or two words have
 one shingle, the whole; texts are read whole; repeated doc_ids are separate rows, and what links one links all of that id; ties
@@ -26,10 +27,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, components, make_room, mix, read, sided, slices, text_bytes, word_hashes
+from .common import LOWER, Scratch, components, joined_components, make_room, mix, read, sided, slices, text_bytes, word_hashes
 
 WORDS = 3
 PERCENT = 90
@@ -37,8 +38,11 @@ HEAT_BITS = 16
 BLOCK = 256
 #: Tiles of at most so many documents name their pairs; signatures go to larger ones.
 SMALL_TILE = 32
+#: Documents of a size band of a tile that a task compares with as many others; larger bands are cut into blocks of about so many.
+TILE_BLOCK = 1024
 #: Tiles of each document that are looked at before all others.
 FEW_TILES = 4
+_LOWER = bytes(LOWER)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -163,28 +167,51 @@ def signatures(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
     return docs.mapInArrow(run, SIGNATURE)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection of sorted arrays."""
+def words_of(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    """The set of a text, as tuples of its words; bytes.split() without arguments knows the same six separators."""
+    own = text.translate(_LOWER).split()
+    if len(own) < words:
+        return {tuple(own)} if own else set()
+    return set(zip(*[own[k:] for k in range(words)], strict=False))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, at, _, v in sets_of(batch.column(1), words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([v[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "items"])
+
+def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: by intersection of sorted arrays of hashes, and those that pass by their words."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).dictionary_encode()
+            place = texts.indices.to_numpy().reshape(2, -1)
+            arrays: list[np.ndarray] = []
+            for _, _, at, _, v in sets_of(texts.dictionary, words):
+                arrays += [v[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+            exact: dict[int, set] = {}
+
+            def exactly(i: int) -> set:
+                if i not in exact:
+                    if len(exact) == 64:
+                        exact.clear()
+                    exact[i] = words_of(texts.dictionary[i].as_buffer().to_pybytes(), words)
+                return exact[i]
+
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, j in place.T.tolist():
+                x, y = arrays[i], arrays[j]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                may = 100 * both >= percent * (len(x) + len(y) - both)
+                if may:
+                    p, q = exactly(i), exactly(j)
+                    may = 100 * len(p & q) >= percent * len(p | q)
+                keep.append(may)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"ids-{tag}")
-    sets = scratch.save(docs.join(sided(ids), "doc_id", "left_semi").mapInArrow(make, "id long, items binary"), f"sets-{tag}", 1000)
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    links = scratch.save(found.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"links-{tag}", 500)
-    scratch.drop(f"sets-{tag}")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = scratch.save(docs.join(sided(scratch.save(ids, f"ids-{tag}")), "doc_id", "left_semi"), f"texts-{tag}")
+    # rows that share an id and have unlike texts are all compared
+    side = lambda id_, text: texts.select(F.col("doc_id").alias(id_), F.coalesce("text", F.lit("")).alias(text))
+    found = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    links = scratch.save(found.mapInArrow(check, "a long, b long").distinct(), f"links-{tag}", 256)
+    scratch.drop(f"texts-{tag}")
     scratch.drop(f"ids-{tag}")
     return links
 
@@ -301,7 +328,10 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _tiles(percent: int, forest: bool) -> Callable:
-    """Candidate pairs (or with `forest` a spanning forest of each tile's) of sorted rows (key, band, visitor, n, id, component, bitmap): residents with residents and visitors."""
+    """Candidate pairs (or with `forest` a spanning forest of each tile's) of rows (key, band, i, j, role, n, id, component, bitmap), sorted.
+
+    Role 0: block i of the band, 1: its block j, 2: block j of the next band's members.
+    """
 
     def compare(a: list[tuple], b: list[tuple], same: bool) -> list[tuple[int, int]]:
         out = []
@@ -324,7 +354,9 @@ def _tiles(percent: int, forest: bool) -> Callable:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, residents, guests = None, [], []
+        tile: tuple | None = None
+        left: list[tuple] = []
+        others: list[tuple] = []  # of the other block or of the next band, a few at a time
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             pairs = sorted({p for p in pairs if p[0] != p[1]})
@@ -332,25 +364,32 @@ def _tiles(percent: int, forest: bool) -> Callable:
                 pairs = _forest(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+        def rest() -> list[tuple[int, int]]:
+            return (compare(left, left, True) if tile[2] == tile[3] else []) + compare(left, others, False)
+
         for batch in batches:
-            for key, band, visitor, n, i, component, bitmap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, band) != tile:
-                    if residents:
-                        yield batch_of(compare(residents, residents, True) + compare(residents, guests, False))
-                    tile, residents, guests = (key, band), [], []
-                if not visitor:
-                    residents.append((n, i, component, bitmap))
-                elif residents:
-                    guests.append((n, i, component, bitmap))
-                    if len(guests) == 4 * BLOCK:
-                        yield batch_of(compare(residents, guests, False))
-                        guests = []
-        if residents:
-            yield batch_of(compare(residents, residents, True) + compare(residents, guests, False))
+            for key, band, i, j, role, n, id_, component, bitmap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, band, i, j) != tile:
+                    if left:
+                        yield batch_of(rest())
+                    tile, left, others = (key, band, i, j), [], []
+                if role == 0:
+                    left.append((n, id_, component, bitmap))
+                elif left:
+                    others.append((n, id_, component, bitmap))
+                    if len(others) == 4 * BLOCK:
+                        yield batch_of(compare(left, others, False))
+                        others = []
+        if left:
+            yield batch_of(rest())
 
     return run
 
 
+def _meeting(i: str, j: str, role: int) -> Column:
+    return F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(role).alias("role"))
+
+
 def _unlinked(posts: DataFrame, labels: DataFrame, maps: DataFrame, scratch: Scratch, turn: str, tiles_of_each: int | None, percent: int) -> DataFrame:
     """Pairs (a, b) of unlike components that share a tile and that signatures let pass."""
     if tiles_of_each:
@@ -365,10 +404,16 @@ def _unlinked(posts: DataFrame, labels: DataFrame, maps: DataFrame, scratch: Scr
     unlike = unlike.join(size, "key")
     small = unlike.where(F.col("size") <= SMALL_TILE).select("key", "n", "id", "component")
     small = small.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs_of_small(percent), "a long, b long").distinct()
-    large = unlike.where(F.col("size") > SMALL_TILE).join(maps, ["id", "n"])
-    row = ("key", "band", "visitor", "n", "id", "component", "bitmap")
-    tiles = large.withColumn("visitor", F.lit(0)).select(*row).union(large.where("band > 0").withColumn("visitor", F.lit(1)).withColumn("band", F.col("band") - 1).select(*row))
-    found = tiles.repartition("key", "band").sortWithinPartitions("key", "band", "visitor", "n", "id").mapInArrow(_tiles(percent, bool(tiles_of_each)), "a long, b long").distinct()
+    large = unlike.where(F.col("size") > SMALL_TILE)
+    # a band of a tile is cut into blocks, and each pair of blocks is a task's: no task holds more than a block
+    blocks = large.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+    members = large.select("key", "band", F.lit(False).alias("visitor"), "n", "id", "component").union(large.where("band > 0").select("key", F.col("band") - 1, F.lit(True), "n", "id", "component"))
+    members = members.join(blocks, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = F.when(F.col("visitor"), F.array(_meeting("other", "own", 2))).when(F.col("other") < F.col("own"), F.array(_meeting("own", "other", 0), _meeting("other", "own", 1))).otherwise(F.array(_meeting("own", "other", 0)))
+    members = members.withColumn("m", F.explode(meets)).select("key", "band", "m.i", "m.j", "m.role", "n", "id", "component").join(maps, ["id", "n"])
+    tiles = members.select("key", "band", "i", "j", "role", "n", "id", "component", "bitmap").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "role", "n", "id")
+    found = tiles.mapInArrow(_tiles(percent, bool(tiles_of_each)), "a long, b long").distinct()
     return found.union(screen(small, maps, percent))
 
 
@@ -396,17 +441,16 @@ def join(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = P
     maps = reps.select(F.col("doc_id").alias("id"), "n", "bitmap").dropDuplicates(["id", "n"])
     pairs = scratch.save(screen(pairs, maps, percent), "pairs")
     scratch.release()
-    links = verify(docs, pairs, scratch, "star", words, percent)
+    labels, checked = components(scratch, verify(docs, pairs, scratch, "star", words, percent), "star"), pairs
     scratch.release()
-    labels, checked = components(scratch, links, "star"), pairs
     # a few tiles of each document find most of what is left to link; then all tiles that still hold unlike components
     for turn, tiles_of_each in (("few", FEW_TILES), ("all", None)):
         more = _unlinked(posts, labels, maps, scratch, turn, tiles_of_each, percent)
         more = scratch.save(more.join(checked, ["a", "b"], "left_anti").distinct(), f"more-{turn}")
         scratch.release()
         if not more.isEmpty():
-            links, checked = links.union(verify(docs, more, scratch, turn, words, percent)), checked.union(more)
-            labels = components(scratch, links, turn)
+            labels = joined_components(scratch, labels, verify(docs, more, scratch, turn, words, percent), turn)
+            checked = checked.union(more)
         scratch.release()
     grouped = classes.join(labels, "id", "left").select(*digest, F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     linked = marks.where("n > 0").select("doc_id", *digest).join(grouped, digest)

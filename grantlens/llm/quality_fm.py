@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, make_room, prefix_hash, read, slices, span_hash, text_bytes, word_spans
+from .common import LOWER, give_back, make_room, read, slices, span_hash, text_bytes, word_spans
 from .labels import remainder, sample, scored, verdicts
 
 THRESHOLD = 0.7
@@ -62,7 +62,7 @@ def features(texts: pa.Array, n_chars: pa.Array | None) -> Iterator[tuple[int, i
             stats[:, j] = (sums[bounds[1:]] - sums[bounds[:-1]]) / per
         starts, ends = word_spans(part, bounds)
         rows = np.searchsorted(bounds, starts, "right") - 1
-        hashes = span_hash(prefix_hash(LOWER[part]), starts, ends)
+        hashes = span_hash(LOWER[part], starts, ends)
         words = np.bincount(rows, minlength=b - a)
         some = np.maximum(words, 1)
         order = np.lexsort((hashes, rows))
@@ -98,7 +98,7 @@ def _repeated_lines(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.zeros(len(bounds) - 1)
     ends = np.append(starts[1:], len(data))
     rows = np.searchsorted(bounds, starts, "right") - 1
-    hashes = span_hash(prefix_hash(data), starts, ends - (data[ends - 1] == 10))
+    hashes = span_hash(data, starts, ends - (data[ends - 1] == 10))
     keys = np.unique(np.stack((rows.astype(np.uint64), hashes), 1), axis=0)
     lines = np.bincount(rows, minlength=len(bounds) - 1)
     return 1 - np.bincount(keys[:, 0].astype(np.int64), minlength=len(bounds) - 1) / np.maximum(lines, 1) * (lines > 0) - (lines == 0)
@@ -227,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         flat_i, flat_x, at = places.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(places.offsets.to_numpy()))))
         stats = made.column("stats").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
         machine.fit([(flat_i[a:b], flat_x[a:b], s) for a, b, s in zip(at[:-1], at[1:], stats, strict=True)], y, weight)
+        del made, places, weights, flat_i, flat_x, stats
+    give_back()
     return machine
 
 

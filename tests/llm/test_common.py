@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from grantlens.llm import common
 from grantlens.llm.common import Scratch
@@ -26,6 +27,47 @@ def test_components(spark):
     assert common.components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
 
 
+def test_components_grow_by_further_links(spark):
+    scratch = Scratch(spark, "t")
+    labels = common.components(scratch, spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long"), "c")
+    more = spark.createDataFrame([(11, 3), (30, 31), (40, 21), (5, 40), (3, 1)], "a long, b long")
+    got = {r.id: r.component_id for r in common.joined_components(scratch, labels, more, "d").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 5, 21: 5, 40: 5, 5: 5, 30: 30, 31: 30}
+    same = common.joined_components(scratch, labels, more.where("1 = 0"), "e")
+    assert same.count() == labels.count()
+
+
+def test_long_chains_have_one_component(spark):
+    chain = spark.range(3000).selectExpr("(id * 7919) % 3001 AS a", "((id + 1) * 7919) % 3001 AS b").repartition(7)
+    assert {r.component_id for r in common.components(Scratch(spark, "t"), chain, "c").collect()} == {0}
+
+
+def test_hashes_of_spans_of_any_length():
+    rnd = random.Random(2)
+    text = bytes(rnd.choice(b"ab") for _ in range(3000))
+    spans = [(0, n) for n in range(140)] + [(a, a + n) for n in (1, 7, 8, 9, 63, 64, 65, 2048) for a in (1, 2, 3000 - n)]
+    start, end = np.array(spans).T
+    found = common.span_hash(np.frombuffer(text, np.uint8), start, end).tolist()
+    by_text = dict(zip([text[a:b] for a, b in spans], found, strict=True))
+    assert [by_text[text[a:b]] for a, b in spans] == found and len(set(by_text.values())) == len(by_text)
+    assert common.span_hash(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://there:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        Scratch(Session(), "t")
+
+
 def test_words_of_rows():
     texts = ["Two  words", None, "", "é\tx\x0by\x1cz", "end ", "nospace"]
     data, offsets = common.text_bytes(pa.array(texts))

@@ -53,6 +53,47 @@ def test_equals_brute_force(spark, monkeypatch, words, percent, small):
     assert run(spark, rows, words, percent) == sorted(brute(rows, words, percent))
 
 
+def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_TILE", 4)
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 5)
+    monkeypatch.setattr(jaccard, "FEW_TILES", 1)
+    rnd = random.Random(8)
+    line = [f"c{k}" for k in range(14)]
+    rows = [(k, " ".join([*line, *(f"u{rnd.randint(0, 3)}x{j}" for j in range(rnd.randint(0, 12)))])) for k in range(90)]
+    assert run(spark, rows, 2, 70) == sorted(brute(rows, 2, 70))
+    assert len({c for _, _, c in run(spark, rows, 2, 70)}) > 1
+
+
+def thue_morse(n, zero, one):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 2048, 4096])
+def test_long_words_that_polynomials_confuse(spark, n):
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rows = [(1, x), (2, y), (3, f"one {x} two three"), (4, f"one {y} two three"), (5, x)]
+    assert run(spark, rows) == [(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 4), (5, 1, 1)]
+
+
+def test_links_rest_on_words(spark):
+    from grantlens.llm import common
+
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "aa bb cc dd"), (3, "ee ff gg hh"), (4, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert [tuple(r) for r in jaccard.verify(docs, pairs, common.Scratch(spark, "t"), "t", 3, 90).collect()] == [(1, 2)]
+    assert jaccard.words_of("Zwei  Wörter\x1cx".encode(), 2) == {(b"zwei", "Wörter\x1cx".encode().replace(b"W", b"w"))}
+    assert jaccard.words_of(b" ", 3) == set() and jaccard.words_of(b"A b", 3) == {(b"a", b"b")}
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_few_tiles_first_or_all(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW_TILES", few)
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rnd.random() > 0.03 else f"e{rnd.randint(0, 999)}" for w in base)) for k in range(60)]
+    assert run(spark, rows, 2, 80) == sorted(brute(rows, 2, 80))
+
+
 def test_awkward_documents(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).where("doc_id IS NOT NULL").collect()]
     got = run(spark, rows)
