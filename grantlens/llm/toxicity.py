@@ -1,19 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Both classes have counts of five-character n-grams from labelled documents. Each is discounted and backs off to one shared model:
-the number of different five-grams, over all documents of the corpus, that a two-gram ends. So a form that neither class has seen
+Both classes have counts of five-character n-grams from labelled documents. Each is discounted and backs off to one shared model of
+four, three, two characters and one, interpolated order by order: there an n-gram counts as often as there are different
+characters before it, over all documents of the corpus. So a form that neither class has seen
 costs both the same, and inflections of rare expressions share what their stems have shown.
 
 A document's evidence is the difference of the two log-likelihoods: normalised by its length, and for its three most toxic
-words. A logistic regression on these gives the score; it is fitted on a third of the labelled rows, whose n-grams the class counts
-leave out. Where a class has more than ROWS_PER_CLASS rows, each row used counts for those that it stands for, so the classes keep
+words. A logistic regression on these gives the score; it is fitted on a third of the labelled rows, by class counts that leave
+their n-grams out, and then scores by counts that hold them as well. Where a class has more than ROWS_PER_CLASS rows, each row used counts for those that it stands for, so the classes keep
 their proportions.
 
 Texts are lower-cased, punctuation counts as space, and of each character 12 bits are kept. Class counts come from at most ROWS_PER_CLASS labelled rows of
 each class; the shared counts come from every document and grow with the corpus. An n-gram that neither class has seen has a ratio
 that follows from its first four characters alone, and without evidence if neither class has seen those. So the model that is sent to
 executors holds every n-gram and every context of the labelled rows used, and loses none: it grows with their text, not with the
-corpus. They are found by a hash index of 2**TABLE_BITS places, or more where there are more entries.
+corpus. They are found by a hash index of about as many places as entries.
 
 Edge cases: null and empty texts score by their length alone; texts of any length are read whole; repeated rows score alike; ids
 without label, labels without document and null labels are not used; when a class has no rows, every score is the
@@ -26,16 +27,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, make_room, mix, read, slices, text_bytes
+from .common import SLICE_BYTES, Scratch, give_back, make_room, mix, read, slices, text_bytes
 from .labels import class_weights, logistic, sample, scored, verdicts
 
 THRESHOLD = 0.3
 ROWS_PER_CLASS = 12_000
-TABLE_BITS = 22
-ORDER, BACKOFF = 5, 2
+ORDER = 5
 BITS = 12
 DISCOUNT = 0.75
 RIDGE = 0.1
@@ -112,19 +113,16 @@ def _rows(label: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), label, np.int32)), pa.array(n.astype(np.int64))], names=["gram", "label", "n"])
 
 
-class Model:
-    """The log-likelihood ratios of n-grams and contexts by an index of their hashes, and the weights of the final regression."""
+class Ratios:
+    """The log-likelihood ratios of n-grams and contexts by an index of their hashes."""
 
-    def __init__(self, key: np.ndarray, ratio: np.ndarray, bits: int):
-        self.bits = max(bits, len(key).bit_length())
+    def __init__(self, key: np.ndarray, ratio: np.ndarray):
+        self.bits = max(1, len(key).bit_length())
         h = mix(key)
         order = np.argsort(h)
         # entries stand in the order of their hashes, those of place i from start[i]
         self.key, self.ratio = key[order], np.concatenate((ratio[order], [0])).astype(np.float32)
         self.start = np.searchsorted(h[order] >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.weights: np.ndarray | None = None
-        self.mean = self.scale = None
-        self.base = 0.0
 
     def places(self, key: np.ndarray) -> np.ndarray:
         """Where each key's entry is; -1 without one."""
@@ -166,6 +164,16 @@ class Model:
                 word[hit[np.unique(row[hit], return_index=True)[1]]] = -20.0
         return out
 
+
+class Model:
+    """The regression on the evidence that a table of ratios gives; the table is a broadcast."""
+
+    def __init__(self, table: Broadcast | None):
+        self.table = table
+        self.weights: np.ndarray | None = None
+        self.mean = self.scale = None
+        self.base = 0.0
+
     @staticmethod
     def design(evidence: np.ndarray) -> np.ndarray:
         mean, w1, w2, w3, n = evidence.T
@@ -185,37 +193,70 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.base)
-        x = (self.design(self.evidence(texts)) - self.mean) / self.scale
+        x = (self.design(self.table.value.evidence(texts)) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: int = ROWS_PER_CLASS, table_bits: int = TABLE_BITS) -> Model:
-    """A model from labelled rows (folds 0 and 1 counted, fold 3 for the regression) and the n-grams of all documents."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows_per_class: int = ROWS_PER_CLASS) -> Model:
+    """A model from labelled rows (the regression on fold 3 by the counts of folds 0 and 1, scores by those of all three) and the n-grams of all documents."""
     chosen = scratch.save(sample(labels, "toxic", rows_per_class), "toxic-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     use = texts.join(F.broadcast(chosen), "doc_id", "left")  # bounded by rows_per_class
-    # -1 without a label that counts: every document's n-grams are in the shared counts
-    label = F.when(F.col("fold") < 2, F.col("label")).otherwise(F.lit(-1))
+    # label + 2 in the fold that the regression learns from, -1 without label: every document's n-grams are in the shared counts
+    label = F.when(F.col("fold") == 3, F.col("label") + 2).otherwise(F.coalesce("label", F.lit(-1)))
     counted = use.select("text", label.cast("int").alias("label")).mapInArrow(_counts, "gram long, label int, n long")
-    per = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    table = scratch.save(counted.groupBy("gram").agg(per(1).alias("toxic"), per(0).alias("ordinary")), "grams", 4000)
-    entries = _ratios(table).toArrow()  # n-grams and contexts of the rows chosen
-    model = Model(entries.column("key").to_numpy().astype(np.uint64), entries.column("ratio").to_numpy(), table_bits)
-    check = use.where("fold = 3").select("text", "label").mapInArrow(_evidence_of(model), "e array<double>, label int").collect()
-    y = np.array([r.label for r in check], int)
-    model.fit(np.array([r.e for r in check]).reshape(-1, 5), y.astype(float), class_weights(labels, "toxic", rows_per_class)[y])
-    for name in ("grams", "toxic-sample"):
+    per = lambda *k: F.sum(F.when(F.col("label").isin(*k), F.col("n")).otherwise(0))
+    sums = (per(1).alias("toxic_part"), per(0).alias("ordinary_part"), per(1, 3).alias("toxic"), per(0, 2).alias("ordinary"))
+    table = scratch.save(counted.groupBy("gram").agg(*sums), "grams", 4000)
+    shared = scratch.save(_shared(table, scratch), "shared")
+    part = _sent(_ratios(table.select("gram", F.col("toxic_part").alias("toxic"), F.col("ordinary_part").alias("ordinary")), shared))
+    check = use.where("fold = 3").select("text", "label").mapInArrow(_evidence_of(part), "e array<double>, label int").toArrow()
+    y = check.column("label").to_numpy()
+    evidence = check.column("e").combine_chunks().flatten().to_numpy().reshape(-1, 5)
+    model = Model(_sent(_ratios(table.select("gram", "toxic", "ordinary"), shared)))
+    model.fit(evidence, y.astype(float), class_weights(labels, "toxic", rows_per_class)[y])
+    part.destroy()
+    for name in ("grams", "kinds", "shared", "toxic-sample"):
         scratch.drop(name)
+    give_back()
     return model
 
 
-def _ratios(table: DataFrame) -> DataFrame:
+def _sent(ratios: DataFrame) -> Broadcast:
+    """The table of n-grams and contexts of the rows chosen on all executors: 12 bytes for each entry and about 4 for each place."""
+    entries = ratios.toArrow()
+    return ratios.sparkSession.sparkContext.broadcast(Ratios(entries.column("key").to_numpy().astype(np.uint64), entries.column("ratio").to_numpy()))
+
+
+def _shared(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, shared): the chance of the last of ORDER - 1 characters after those before, in the model that both classes back off to.
+
+    In each order an n-gram counts once for each different character before it.
+    """
+    last = lambda c, k: F.col(c).bitwiseAND((1 << BITS * k) - 1)
+    kinds = scratch.save(table.groupBy(last("gram", ORDER - 1).alias("g")).agg(F.count("*").alias("n")), "kinds")
+    orders = [kinds]
+    for k in range(ORDER - 2, 0, -1):
+        orders.append(orders[-1].groupBy(last("g", k).alias("g")).agg(F.count("*").alias("n")))
+    chance = None
+    for k, rows in enumerate(reversed(orders), 1):
+        rows = rows.withColumn("context", F.shiftright("g", BITS))
+        rows = rows.join(rows.groupBy("context").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_kinds")), "context")
+        if chance is None:
+            p = F.col("n") / F.col("all_n")
+        else:
+            rows = rows.withColumn("lower", last("g", k - 1)).join(chance.select(F.col("g").alias("lower"), F.col("shared").alias("q")), "lower")
+            p = (F.col("n") - DISCOUNT + DISCOUNT * F.col("all_kinds") * F.col("q")) / F.col("all_n")
+        chance = rows.select("g", p.alias("shared"))
+    return chance
+
+
+def _ratios(table: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, ratio): the log of how much likelier its last character is for the toxic class, for each n-gram that a class has seen;
     and of how much likelier an unseen one is, for each context."""
-    counts = table.select("gram", "toxic", "ordinary", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND((1 << BITS * BACKOFF) - 1).alias("low"))
-    ends = counts.groupBy("low").agg(F.count("*").alias("kinds")).withColumn("history", F.shiftright("low", BITS))
-    after = ends.groupBy("history").agg(F.sum("kinds").alias("all_kinds"))
-    backoff = ends.join(after, "history").select("low", (F.col("kinds") / F.col("all_kinds")).alias("shared"))
+    low = F.col("gram").bitwiseAND((1 << BITS * (ORDER - 1)) - 1)
+    counts = table.select("gram", "toxic", "ordinary", F.shiftright("gram", BITS).alias("context"), low.alias("low"))
+    backoff = shared.withColumnRenamed("g", "low")
     grams = counts.where("toxic + ordinary > 0")
     seen = lambda c: F.sum((F.col(c) > 0).cast("int"))
     sums = [f(c).alias(f"{c}_{name}") for c in ("toxic", "ordinary") for name, f in (("sum", F.sum), ("kinds", seen))]
@@ -234,10 +275,10 @@ def _ratios(table: DataFrame) -> DataFrame:
     return rows.select(F.col("gram").alias("key"), ratio(chance)).union(context.select(F.col("context").bitwiseOR(1 << BITS * ORDER).alias("key"), ratio(unseen)))
 
 
-def _evidence_of(model: Model) -> Callable:
+def _evidence_of(sent: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = model.evidence(batch.column(0))
+            e = sent.value.evidence(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(e), pa.list_(pa.float64())), batch.column(1)], names=["e", "label"])
 
     return run
@@ -245,8 +286,7 @@ def _evidence_of(model: Model) -> Callable:
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """docs with the score of each text, all columns kept or (doc_id, score)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes for each entry and 4 for each place
-    return scored(docs, ["doc_id", "text"], lambda: lambda batch: sent.value.score(batch.column(1).cast(pa.string())), keep)
+    return scored(docs, ["doc_id", "text"], lambda: lambda batch: model.score(batch.column(1).cast(pa.string())), keep)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
