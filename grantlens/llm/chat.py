@@ -5,13 +5,18 @@ arguments} makes calls; a tool's text that is a JSON object with `tool_call_id`
 
 Calls and results are joined by (conv_id, identifier). Arguments may hold {"$result": identifier} and then depend on that call's
 result. Messages are ordered topologically: by turn, but a result after its call and a call after the results that it uses,
-level by level; calls on a cycle, or that use one which is, keep their turn and are marked. Chains may have any length. Arguments are validated against the schemas given for tool names.
+level by level; calls on a cycle, or that use one which is, keep their turn and are marked. Chains may have any length.
+
+Arguments are validated against JSON schemas: those given for tool names, and those that a conversation declares itself, in a system
+message that is a JSON object with a list `tools` of objects {name, parameters} (or {function: {name, parameters}}). Of two declarations
+of a name the first holds; in a conversation that declares tools, others are unknown. Without schemas nothing is validated.
 Each message is serialised as canonical JSON: keys sorted, no spaces, UTF-8, no NaN.
 
 status: message, call, result, orphan (a result without a call), invalid (a call whose arguments fail their schema, or with an
 unknown tool while schemas are given), repeated (a second call or result with an identifier), cyclic.
 
-Edge cases: a null text counts as empty, a null role as "unknown"; messages with null conv_id or turn come first among theirs;
+Edge cases: a null text counts as empty, a null role as "unknown"; messages with null conv_id are one conversation, those with null turn come
+first in theirs;
 repeated rows stay and are ordered next to each other; malformed JSON is plain text; an empty table gives no rows; other
 columns are ignored. Positions are counted in runs of turns, so a conversation that holds a large part of all rows is split.
 """
@@ -83,32 +88,45 @@ def _uses(value: Any) -> list[str]:
     return [u for v in value for u in _uses(v)] if isinstance(value, list) else []
 
 
-def parse(role: str, text: str, schemas: dict[str, dict] | None) -> tuple[str, list[str], list[str], list[str], str]:
-    """kind, call ids, ids whose results are used, problems, canonical JSON of one message."""
-    plain = ("message", [], [], [], canonical({"role": role, "content": text}))
-    if role not in ("assistant", "tool") or not text.lstrip().startswith("{"):
+def _declared(body: Any) -> dict[str, str]:
+    """Schemas by tool name that a system message's JSON declares."""
+    found: dict[str, str] = {}
+    for tool in body.get("tools") or [] if isinstance(body, dict) and isinstance(body.get("tools"), list) else []:
+        tool = tool.get("function", tool) if isinstance(tool, dict) else None
+        if isinstance(tool, dict) and isinstance(tool.get("name"), str) and isinstance(tool.get("parameters", {}), dict):
+            found.setdefault(tool["name"], canonical(tool.get("parameters", {})))
+    return found
+
+
+def parse(role: str, text: str, schemas: dict[str, dict] | None) -> tuple[str, list[str], list[str], list[str], str, list[tuple[str, str]]]:
+    """kind, call ids, ids whose results are used, problems, canonical JSON of one message, and (name, arguments) of each call or (name, schema) of each tool declared."""
+    plain = ("message", [], [], [], canonical({"role": role, "content": text}), [])
+    if role not in ("assistant", "tool", "system") or not text.lstrip().startswith("{"):
         return plain
     try:
         body = json.loads(text)
+        if role == "system":
+            return (*plain[:5], list(_declared(body).items()))
         if role == "tool" and isinstance(body.get("tool_call_id"), str):
-            return "result", [body["tool_call_id"]], [], [], canonical({"role": role} | body)
+            return "result", [body["tool_call_id"]], [], [], canonical({"role": role} | body), []
         calls = body.get("tool_calls") if role == "assistant" else None
         if not isinstance(calls, list) or not calls or not all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
             return plain
-        wrong, uses = [], []
+        wrong, uses, asked = [], [], []
         for c in calls:
             arguments = c.get("arguments", {})
             if isinstance(arguments, str):  # arguments as JSON text are taken apart
                 arguments = c["arguments"] = json.loads(arguments)
             uses += _uses(arguments)
+            asked.append((c["name"] if isinstance(c.get("name"), str) else "", canonical(arguments)))
             if schemas is not None:
                 wrong += problems(schemas[c["name"]], arguments, c["id"]) if c.get("name") in schemas else [f"{c['id']}: unknown tool"]
-        return "call", [c["id"] for c in calls], uses, wrong, canonical({"role": role} | body)
+        return "call", [c["id"] for c in calls], uses, wrong, canonical({"role": role} | body), asked
     except (ValueError, TypeError, RecursionError):
         return plain
 
 
-SCHEMA = "conv_id long, turn long, role string, row long, kind string, ids array<string>, uses array<string>, problems array<string>, json string"
+SCHEMA = "conv_id long, turn long, role string, row long, kind string, ids array<string>, uses array<string>, problems array<string>, json string, names array<string>, bodies array<string>"
 
 
 def parsed(messages: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
@@ -118,8 +136,8 @@ def parsed(messages: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
             made = [parse(r, t, schemas) for r, t in zip(role, text, strict=True)]
             lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(row, pa.int64()), pa.array([m[0] for m in made], pa.string())] + [pa.array([m[k] for m in made], lists) for k in (1, 2, 3)] + [pa.array([m[4] for m in made], pa.string())],
-                names=["conv_id", "turn", "role", "row", "kind", "ids", "uses", "problems", "json"],
+                [pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(row, pa.int64()), pa.array([m[0] for m in made], pa.string())] + [pa.array([m[k] for m in made], lists) for k in (1, 2, 3)] + [pa.array([m[4] for m in made], pa.string())] + [pa.array([[x[k] for x in m[5]] for m in made], lists) for k in (0, 1)],
+                names=["conv_id", "turn", "role", "row", "kind", "ids", "uses", "problems", "json", "names", "bodies"],
             )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -128,13 +146,38 @@ def parsed(messages: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("conv_id", "turn", "role", "text")).mapInArrow(run, SCHEMA)
 
 
+def _wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, row, place, problems) of calls (conv_id, row, place, id, name, arguments, schema); without schema the tool is unknown."""
+    for batch in batches:
+        found = []
+        for i, arguments, schema in zip(*(batch.column(k).to_pylist() for k in (3, 5, 6)), strict=True):
+            try:
+                found.append([f"{i}: unknown tool"] if schema is None else problems(json.loads(schema), json.loads(arguments), i))
+            except (KeyError, TypeError, AttributeError, ValueError, RecursionError):
+                found.append([f"{i}: the schema cannot be read"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["conv_id", "row", "place", "problems"])
+
+
+def _validated(rows: DataFrame) -> DataFrame:
+    """rows with the problems of calls under the schemas that their conversations declare."""
+    each = lambda kind: rows.where(kind & (F.size("names") > 0)).select("conv_id", "turn", "row", "ids", F.posexplode(F.arrays_zip("names", "bodies")).alias("place", "x"))
+    declared = each(F.col("kind") == "message").groupBy("conv_id", F.col("x.names").alias("name")).agg(F.min_by("x.bodies", F.struct("turn", "row", "place")).alias("schema"))
+    if declared.isEmpty():
+        return rows
+    calls = each(F.col("kind") == "call").select("conv_id", "row", "place", F.get("ids", F.col("place")).alias("id"), F.col("x.names").alias("name"), F.col("x.bodies").alias("arguments")).distinct()
+    asked = calls.join(declared.select("conv_id").distinct(), "conv_id").join(declared, ["conv_id", "name"], "left")
+    wrong = asked.select("conv_id", "row", "place", "id", "name", "arguments", "schema").mapInArrow(_wrong, "conv_id string, row long, place int, problems array<string>")
+    of_row = wrong.groupBy("conv_id", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "problems"))), lambda w: w["problems"])).alias("more"))  # as many as the message has calls
+    return rows.join(of_row, ["conv_id", "row"], "left").withColumn("problems", F.concat("problems", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+
+
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Levels of the calls that use known results or, by way of calls of their block, nothing else.
 
     Rows (conv_id, block, id, need, level, need_ready, own) are in the order of blocks, and a call's rows are of one block.
     """
     names = ["conv_id", "id", "level", "ready", "need_ready"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         waits: dict[tuple, int] = {}
@@ -182,7 +225,9 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link(messages: DataFrame, scratch: Scratch, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, role, position, status, call_ids, problems, json) for each message."""
-    rows = scratch.save(parsed(messages, schemas), "parsed")
+    # in joins a conversation without id is one like others
+    rows = scratch.save(parsed(messages, schemas).withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), "parsed")
+    rows = _validated(rows).drop("names", "bodies")
     one = lambda kind: rows.where(F.col("kind") == kind).select("conv_id", F.explode("ids").alias("id"), "turn", "row", "uses")
     first = F.min(F.struct("turn", "row")).alias("first")
     calls = one("call").groupBy("conv_id", "id").agg(first).select("conv_id", "id", F.col("first.turn").alias("call_turn"), F.col("first.row").alias("call_row"))
@@ -203,7 +248,7 @@ def link(messages: DataFrame, scratch: Scratch, schemas: dict[str, dict] | None
             todo = needs.join(level, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "need"], "left").join(own, ["conv_id", "id"])
             todo = todo.withColumn("block", F.floor(F.col("call_turn") / (RUN_OF_TURNS << min(i - 1, MOST_DOUBLINGS))))
             blocks = todo.select("conv_id", "block", "id", "need", "level", "need_ready", "own").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block")
-            done = blocks.mapInArrow(_levels, "conv_id long, id string, level int, ready long, need_ready long")
+            done = blocks.mapInArrow(_levels, "conv_id string, id string, level int, ready long, need_ready long")
             level = scratch.save(level.unionByName(done), f"level-{i}")
             scratch.drop(f"level-{i - 1}")
             if (m := level.count()) == n:  # a call that is on no cycle and uses none would have got a level
@@ -238,7 +283,7 @@ def link(messages: DataFrame, scratch: Scratch, schemas: dict[str, dict] | None
     before = before.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), "before")
     order = Window.partitionBy("conv_id", "run").orderBy("at", "level", "turn", "row")
     placed = every.withColumn("number", F.row_number().over(order)).join(before, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
-    return placed.select("conv_id", "turn", "role", (F.col("before") + F.col("number") - 1).cast("long").alias("position"), "status", F.col("ids").alias("call_ids"), "problems", "json")
+    return placed.select(F.nullif("conv_id", F.lit("")).cast("long").alias("conv_id"), "turn", "role", (F.col("before") + F.col("number") - 1).cast("long").alias("position"), "status", F.col("ids").alias("call_ids"), "problems", "json")
 
 
 def op8_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,34 @@ def test_long_chains(spark):
     assert [r.turn for r in sorted(got, key=lambda r: r.position) if r.conv_id == 1] == list(range(2 * n))
 
 
+def test_conversations_without_id_link_too(spark):
+    rows = [(None, 1, "tool", result("x")), (None, 2, "assistant", call(("x", "add", {"a": {"$result": "w"}}))), (None, 3, "assistant", call(("w", "add", {}))), (5, 1, "tool", result("x"))]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark, "t")).collect()
+    assert [(r.conv_id, r.turn, r.status) for r in sorted(got, key=lambda r: (r.conv_id or 0, r.position))] == [(None, 3, "call"), (None, 2, "call"), (None, 1, "result"), (5, 1, "orphan")]
+
+
+def test_schemas_that_conversations_declare(spark, tmp_path):
+    tools = json.dumps({"tools": [{"name": "add", "parameters": SCHEMAS["add"]}, {"type": "function", "function": {"name": "go"}}, {"name": "bad", "parameters": {"type": "odd"}}, 7, {"name": "add", "parameters": {}}]})
+    rows = [
+        (1, 0, "system", tools),
+        (1, 1, "assistant", call(("a", "add", {"a": 1}), ("b", "add", {"b": 1}), ("c", "go", {"x": []}))),
+        (1, 2, "assistant", call(("d", "fly", {}))),
+        (1, 3, "assistant", call(("e", "bad", {}))),
+        (1, 3, "assistant", call(("f", "go", {}))),
+        (2, 0, "system", "{no json"),
+        (2, 1, "assistant", call(("a", "add", {"b": 1}))),
+        (None, 0, "system", tools),
+        (None, 1, "assistant", call(("a", "add", {"b": 1}))),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn, r.json): r.status for r in chat.op8_tool_links(spark, str(tmp_path)).collect()}
+    status = lambda c, t: [s for (x, y, _), s in sorted(got.items(), key=str) if (x, y) == (c, t)]
+    assert status(1, 0) == ["message"] and status(1, 1) == ["invalid"] and status(1, 2) == ["invalid"] and sorted(status(1, 3)) == ["call", "invalid"]
+    assert status(2, 0) == ["message"] and status(2, 1) == ["call"] and status(None, 1) == ["invalid"]
+    found = {r.turn: r.problems for r in chat.link(spark.createDataFrame(rows[:3], "conv_id long, turn long, role string, text string"), Scratch(spark, "t")).collect()}
+    assert found == {0: [], 1: ["b.a: missing", "b.b: unexpected"], 2: ["d: unknown tool"]}
+
+
 def test_canonical():
     assert chat.canonical({"b": 1, "a": "é\n"}) == '{"a":"é\\n","b":1}'
     assert chat.problems({"type": "integer", "minimum": 2}, 1) and not chat.problems({"type": "number"}, 1.5)
