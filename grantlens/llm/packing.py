@@ -6,8 +6,9 @@ fills that class's slot to within 1/64; else a piece of exactly capacity // (k +
 alike. The longest piece of class k is shorter than the shortest of class k - 1, so the class follows from the length.
 
 Every worker fills bins of each class with exactly k pieces, with no word from the others; what it has left open at its end
-(at most k - 1 pieces a class) goes to a second round, dealt by class, which again closes full bins as they fill. The second
-round leaves at most sum(k - 1) over the classes, a number fixed by the capacity, and one task packs these first-fit
+(at most k - 1 pieces a class) goes to further rounds, dealt by class, which again close full bins as they fill. A class with more than
+DEALT pieces (or 16 k of them) is dealt in parts, each of which leaves at most k - 1, until its rest is small enough for one task. The
+last round leaves at most sum(k - 1) over the classes, a number fixed by the capacity, and one task packs these first-fit
 decreasing. No round holds more than the open bins in memory. A sequence is padded to the capacity, except when its tokens
 are a power of two.
 
@@ -23,7 +24,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ END_ID = 1
 SLACK = 64
 #: Encoded words kept in each of two generations, of what stands between white space and of words and signs: memory against time.
 KEEP_WORDS = 600_000
+#: Pieces of one class that a task of a later round gets.
+DEALT = 1024
 #: White space to str.split, but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters for which the word pattern and lower-casing are the same in Python and in the tokenizer.
@@ -177,6 +180,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
+LAST_ROUND = 31
+
+
 def _first_id(round_no: int) -> int:
     """Sequence ids of a worker: apart from those of all other workers and rounds, and the same when a task is run again."""
     return round_no << 58 | TaskContext.get().partitionId() << 34
@@ -212,9 +218,9 @@ def _tokenise_and_fill(path: str, capacity: int, keep: int) -> Callable:
     return run
 
 
-def _fill_again(capacity: int) -> Callable:
+def _fill_again(capacity: int, round_no: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = Bins(capacity, _first_id(1))
+        bins = Bins(capacity, _first_id(round_no))
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
                 bins.add(row)
@@ -227,7 +233,7 @@ def _fill_again(capacity: int) -> Callable:
 def _first_fit(capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)), key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
-        bins, room = Bins(capacity, _first_id(2)), np.zeros(0, np.int64)
+        bins, room = Bins(capacity, _first_id(LAST_ROUND)), np.zeros(0, np.int64)
         held: list[list[tuple]] = []
         for row in rows:
             fit = np.flatnonzero(room >= row[2])
@@ -250,10 +256,18 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, capacity: int = CAPACITY,
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "cast(text as string) AS text")
     one = scratch.save(rows.mapInArrow(_tokenise_and_fill(path, capacity, keep), PIECE), "pieces")
     done = F.col("sequence_id").isNotNull()
-    by_class = one.where(~done).withColumn("class", F.floor(F.lit(capacity) / F.col("length")))
-    two = scratch.save(by_class.repartition("class").drop("class").mapInArrow(_fill_again(capacity), PIECE), "again")
-    three = two.where(~done).coalesce(1).mapInArrow(_first_fit(capacity), PIECE)
-    return one.where(done).unionByName(two.where(done)).unionByName(three)
+    k = F.floor(F.lit(capacity) / F.col("length"))
+    made, rounds, several = one, [], True
+    while several:
+        rounds.append(made.where(done))
+        open_ = made.where(~done).withColumn("class", k)
+        parts = open_.groupBy("class").agg(F.ceil(F.count("*") / F.greatest(F.lit(DEALT), 16 * F.col("class"))).alias("parts"))  # a row for each class
+        several = not parts.where("parts > 1").isEmpty()
+        part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))
+        dealt = open_.join(F.broadcast(parts), "class").withColumn("part", part).repartition("class", "part").select(*made.columns)
+        made = scratch.save(dealt.mapInArrow(_fill_again(capacity, len(rounds)), PIECE), f"again-{len(rounds)}")
+    last = made.where(~done).coalesce(1).mapInArrow(_first_fit(capacity), PIECE)
+    return reduce(DataFrame.unionByName, [*rounds, made.where(done), last])
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

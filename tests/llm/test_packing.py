@@ -49,6 +49,27 @@ def test_every_id_in_one_piece(spark, capacity):
     assert padded - total <= capacity + total * 0.03
 
 
+def test_large_classes_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DEALT", 1)
+    made = []
+    fill = packing._fill_again
+    monkeypatch.setattr(packing, "_fill_again", lambda *a: made.append(a) or fill(*a))
+    docs = spark.range(0, 3000, 1, 300).selectExpr("id AS doc_id", "repeat('word ', cast(1 + id % 23 AS int)) AS text")
+    rows = packing.pack(docs, Scratch(spark, "t"), packing.default_tokenizer(), 32).collect()
+    assert len(made) > 1
+    by, of = {}, {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+        of.setdefault(r.doc_id, []).append(r)
+    assert set(of) == set(range(3000))
+    for held in of.values():
+        held.sort(key=lambda r: r.start)
+        assert [r.start for r in held] + [held[0].doc_tokens] == [0, *np.cumsum([r.length for r in held]).tolist()]
+    for held in by.values():
+        held.sort(key=lambda r: r.offset)
+        assert [r.offset for r in held] == np.cumsum([0] + [r.length for r in held[:-1]]).tolist() and sum(r.length for r in held) <= 32
+
+
 def test_cuts():
     for rest in range(1, 2048):
         made = packing.cuts(rest, 2048)
