@@ -11,7 +11,8 @@ is two Parquet tables, which every Spark store can hold:
 `read_archive` joins the two and gives back whole records; columns that are not asked for are pruned.
 `described` reads type, reference, length and digest from the bytes of whole records, so payloads go through the join.
 
-Edge cases: null html is an empty payload (0 bytes); a null url gives an empty target; repeated page_ids stay separate rows
+Edge cases: null html is an empty payload (0 bytes); a null url gives an empty target; line ends within a url, which no header can hold,
+are percent-encoded; repeated page_ids stay separate rows
 (each row whose page_id is the smallest of its payload is a response); rows without a
 page_id are archived with an empty id; other columns of the input are ignored; an empty table makes an empty
 archive.
@@ -60,7 +61,7 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
+        line("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_sha1(F.col("sha1")))),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -73,8 +74,8 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
 def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES) -> None:
     """Write headers and payloads.
 
-    Payloads are chosen by digest: the row numbers that hold a payload first are found on digests alone, and only those
-    rows' bytes are written, so a payload with many copies is shuffled and stored once.
+    Payloads are grouped by digest with partial aggregation: of a payload with many copies one goes on from each map task, and one
+    is stored.
     """
     scratch.save(records(pages, least_bytes).select("page_id", "sha256", "record_type", "refers_to", "header"), "headers")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")

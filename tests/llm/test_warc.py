@@ -30,6 +30,8 @@ def test_round_trip(spark):
         assert block == (bytes(r.payload) if r.record_type == "response" else b"")
         sha = base64.b32encode(hashlib.sha1(bytes(r.payload)).digest())
         assert b"WARC-Payload-Digest: sha1:" + sha + b"\r\n" in header
+        assert header.count(b"\r\n\r\n") == 1
+    assert any(b"WARC-Target-URI: u%0D%0AX: y\r\n" in bytes(r.header) for r in got)
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
     assert kinds == [(0, "response", None), (3, "response", None), (5, "revisit", 3), (9, "response", None), (10, "revisit", 9), (11, "response", None), (12, "revisit", 3), (12, "revisit", 3)]
 
