@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Scratch, give_back, make_room, mix, read, slices, text_bytes
@@ -240,8 +240,9 @@ def _shared(table: DataFrame, scratch: Scratch) -> DataFrame:
         orders.append(orders[-1].groupBy(last("g", k).alias("g")).agg(F.count("*").alias("n")))
     chance = None
     for k, rows in enumerate(reversed(orders), 1):
-        rows = rows.withColumn("context", F.shiftright("g", BITS))
-        rows = rows.join(rows.groupBy("context").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_kinds")), "context")
+        # a context's group is no larger than the alphabet of 2**BITS characters
+        same = Window.partitionBy("context")
+        rows = rows.withColumn("context", F.shiftright("g", BITS)).withColumn("all_n", F.sum("n").over(same)).withColumn("all_kinds", F.count("*").over(same))
         if chance is None:
             p = F.col("n") / F.col("all_n")
         else:
