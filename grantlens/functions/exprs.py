@@ -202,54 +202,56 @@ def split_node(x: Column | str) -> tuple[Column, Column]:
     return F.substring_index(x, ":", 1), F.regexp_replace(x, r"^[^:]*:?", "")
 
 
-def partial_of(f, value):
-    """f of one Column, with its second argument given."""
-    return lambda x: f(x, value)
-
-
 def accessions(text: Column | str) -> Column:
     """Accessions of a text: array of (accession, repository, surface_form, context, confidence, start), the best of each by start.
 
-    Offsets come from splitting at marks put round each match and adding up what stands before.
+    One pattern of all repositories, whose numbers cannot overlap, splits the text; a match starts after the pieces and matches
+    before it. Texts without a match, which are most, are only searched.
     """
     x = F.coalesce(_c(text), F.lit(""))
-    cues = F.array(*map(F.lit, ACCESSION_CUES))
-    found = []
-    for repo, pattern in ACCESSIONS:
-        parts = F.split(F.regexp_replace(x, f"({pattern})", "\u0001$1\u0002"), "\u0001")
-        # each part but the first starts with a match that ends at the mark; its offset is the length of all before it, less marks
-        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-        lengths = F.transform(parts, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
-        matched = F.transform(
-            F.when(F.size(parts) > 1, rest).otherwise(F.array().cast("array<string>")),
-            lambda p, i: F.struct(
-                F.substring_index(p, "\u0002", 1).alias("surface"),
-                F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b).alias("start"),
-            ),
+    any_ = "|".join(f"(?:{pattern})" for _, pattern in ACCESSIONS)
+    hits = F.regexp_extract_all(x, F.lit(any_), F.lit(0))
+    pieces = F.split(x, any_, -1)
+    sizes = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("p"), hits.alias("h")), lambda z: F.struct(F.length(z["p"]).alias("p"), z["h"].alias("h")))
+
+    def repository(surface: Column) -> Column:
+        out = None
+        for name, pattern in ACCESSIONS:
+            out = (F if out is None else out).when(surface.rlike(f"^(?:{pattern})$"), F.lit(name))
+        return out
+
+    def described(z: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, y: n + y["p"] + F.length(y["h"])) + z["p"]
+        begin = F.greatest(start - ACCESSION_WINDOW, F.lit(0))
+        context = F.substring(x, begin + 1, start + F.length(z["h"]) + ACCESSION_WINDOW - begin)
+        repo = repository(z["h"])
+        return F.struct(
+            repo.alias("repository"),
+            F.when(repo == "dbGaP", z["h"]).otherwise(F.upper(z["h"])).alias("accession"),
+            F.when(F.lower(context).rlike("|".join(ACCESSION_CUES)), F.lit(0.97)).otherwise(F.lit(0.9)).alias("confidence"),
+            start.alias("start"),
+            z["h"].alias("surface_form"),
+            F.trim(context).alias("context"),
         )
 
-        def describe(m: Column, repo: str) -> Column:
-            begin = F.greatest(m["start"] - ACCESSION_WINDOW, F.lit(0))
-            end = m["start"] + F.length(m["surface"]) + ACCESSION_WINDOW
-            context = F.substring(x, begin + 1, end - begin)
-            cue = F.exists(cues, lambda c: F.contains(F.lower(context), c))
-            return F.struct(
-                (m["surface"] if repo == "dbGaP" else F.upper(m["surface"])).alias("accession"),
-                F.lit(repo).alias("repository"),
-                m["surface"].alias("surface_form"),
-                F.trim(context).alias("context"),
-                F.when(cue, F.lit(0.97)).otherwise(F.lit(0.9)).alias("confidence"),
-                m["start"].alias("start"),
-            )
-
-        found.append(F.transform(matched, partial_of(describe, repo)))
-    every = F.concat(*found)
-    # the most confident of each accession, the first of equals
-    best = F.filter(
-        every,
-        lambda m: ~F.exists(every, lambda o: (o["repository"] == m["repository"]) & (o["accession"] == m["accession"]) & ((o["confidence"] > m["confidence"]) | ((o["confidence"] == m["confidence"]) & (o["start"] < m["start"])))),
-    )
-    return F.array_sort(best, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    # the most confident of each accession, the first of equals: neighbours in this order
+    ranked = F.array_sort(F.transform(sizes, described), _by_accession)
+    best = F.filter(ranked, lambda m, i: (i == 0) | (F.get(ranked, i - 1)["accession"] != m["accession"]) | (F.get(ranked, i - 1)["repository"] != m["repository"]))
+    plain = F.transform(best, lambda m: F.struct(*[m[c].alias(c) for c in ("accession", "repository", "surface_form", "context", "confidence", "start")]))
+    ordered = F.array_sort(plain, lambda a, b: _compare((a["start"], b["start"])))
+    none = F.array().cast("array<struct<accession:string,repository:string,surface_form:string,context:string,confidence:double,start:int>>")
+    return F.when(x.rlike(any_), ordered).otherwise(none)
+
+
+def _compare(*pairs: tuple[Column, Column]) -> Column:
+    out = F.lit(0)
+    for a, b in reversed(pairs):
+        out = F.when(a < b, -1).when(a > b, 1).otherwise(out)
+    return out
+
+
+def _by_accession(a: Column, b: Column) -> Column:
+    return _compare((a["repository"], b["repository"]), (a["accession"], b["accession"]), (b["confidence"], a["confidence"]), (a["start"], b["start"]))
 
 
 def parse_years(spec: str | None) -> list[int] | None:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ACTIVITY = "CASE c_custkey % 8 WHEN 0 THEN 'R01' WHEN 1 THEN 'U01' WHEN 2 THEN 'P30' WHEN 3 THEN 'T32' WHEN 4 THEN 'U54' WHEN 5 THEN 'ZIA' WHEN 6 THEN 'DP2' ELSE 'N01' END"
 CORE = f"{_ACTIVITY} || lpad(CAST(c_custkey % 25 AS STRING), 2, '0') || lpad(CAST(c_custkey AS STRING), 6, '0')"
+#: Grants of customers in debt were renumbered: no link names their new number, so they have no output, and links name numbers without award.
+RENUMBERED = f"{CORE} || CASE WHEN c_acctbal < 0 THEN 'X' ELSE '' END"
 AWARDS = {
     "application_id": "o_orderkey",
-    "core_project_num": CORE,
-    "full_project_num": f"'5' || {CORE} || '-' || CAST(year(o_orderdate) AS STRING)",
+    "core_project_num": RENUMBERED,
+    "full_project_num": f"'5' || {RENUMBERED} || '-' || CAST(year(o_orderdate) AS STRING)",
     "activity_code": _ACTIVITY,
     "ic": "c_mktsegment",
     "ic_name": "'Institute of ' || c_mktsegment",
@@ -29,6 +31,7 @@ AWARDS = {
     "total_cost": "o_totalprice",
 }
 PUBLINKS = {"pmid": "CAST(l_partkey AS STRING)", "core_project_num": CORE, "pub_year": "CAST(year(l_shipdate) AS INT)"}
+TRIALS = {"nct_id": "'NCT' || lpad(CAST(event_id AS STRING), 8, '0')", "title": "event_type", "core": CORE, "has_results": "value > 50"}
 METRICS = {
     "pmid": "CAST(p_partkey AS STRING)",
     "pub_year": "CAST(1995 + p_size % 12 AS INT)",
@@ -44,8 +47,9 @@ def _columns(mapping: dict[str, str]) -> str:
 
 #: The same tables for an oracle, as common table expressions.
 CTE = f"""awards AS (SELECT {_columns(AWARDS)} FROM orders JOIN customer ON o_custkey = c_custkey),
-publinks AS (SELECT DISTINCT {_columns(PUBLINKS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_orderkey % 3 = 0),
-metrics AS (SELECT {_columns(METRICS)} FROM part)"""
+publinks AS (SELECT DISTINCT {_columns(PUBLINKS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+metrics AS (SELECT {_columns(METRICS)} FROM part),
+reported AS (SELECT {_columns(TRIALS)} FROM (SELECT *, user_id AS c_custkey FROM events) e)"""
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +64,7 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def publinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (pmid, core_project_num, pub_year)."""
-    lines = _read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    lines = _read(spark, sf_dir, "lineitem")
     joined = lines.join(_read(spark, sf_dir, "orders"), _on("l_orderkey", "o_orderkey")).join(_read(spark, sf_dir, "customer"), _on("o_custkey", "c_custkey"))
     return joined.selectExpr(*[f"{e} AS {c}" for c, e in PUBLINKS.items()]).distinct()
 
@@ -70,8 +74,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").selectExpr(*[f"{e} AS {c}" for c, e in METRICS.items()])
 
 
+def reported_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nct_id, title, core, has_results): trials and the grant number that they report, here an event and its user's."""
+    return _read(spark, sf_dir, "events").withColumnRenamed("user_id", "c_custkey").selectExpr(*[f"{e} AS {c}" for c, e in TRIALS.items()])
+
+
 def citers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pmid, citer): a publication's clinical citers, here the parts that follow it by number and share its brand."""
+    """(pmid, citer): a publication's clinical citers, here parts that follow it by number, up to three."""
     part = _read(spark, sf_dir, "part")
     return part.selectExpr("CAST(p_partkey AS STRING) AS pmid", "explode(sequence(1, 3)) AS k", "p_partkey", "p_size").where("k <= p_size % 4 AND k <= p_partkey % 4").selectExpr("pmid", "CAST(p_partkey + 7 * k AS STRING) AS citer")
 
