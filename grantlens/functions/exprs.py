@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -191,28 +192,34 @@ def rate(x: Column | str) -> Column:
     return F.when(value > 1, value / 100).otherwise(value)
 
 
-def contains_any(text: Column | str, words: list[str]) -> Column:
-    low = F.lower(F.coalesce(_c(text), F.lit("")))
+def contains_word(low: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
+def contains_any(text: Column | str, words: list[str]) -> Column:
+    return contains_word(F.lower(F.coalesce(_c(text), F.lit(""))), words)
+
+
 def split_node(x: Column | str) -> tuple[Column, Column]:
     """Type and id of a node name, at its first colon."""
     x = _c(x)
     return F.substring_index(x, ":", 1), F.regexp_replace(x, r"^[^:]*:?", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row: within the functions that array functions take, an expression is worked out for
+    each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def accessions(text: Column | str) -> Column:
     """Accessions of a text: array of (accession, repository, surface_form, context, confidence, start), the best of each by start.
 
     One pattern of all repositories, whose numbers cannot overlap, splits the text; a match starts after the pieces and matches
     before it. Texts without a match, which are most, are only searched.
     """
-    x = F.coalesce(_c(text), F.lit(""))
     any_ = "|".join(f"(?:{pattern})" for _, pattern in ACCESSIONS)
-    hits = F.regexp_extract_all(x, F.lit(any_), F.lit(0))
-    pieces = F.split(x, any_, -1)
-    sizes = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("p"), hits.alias("h")), lambda z: F.struct(F.length(z["p"]).alias("p"), z["h"].alias("h")))
+    none = F.array().cast("array<struct<accession:string,repository:string,surface_form:string,context:string,confidence:double,start:int>>")
 
     def repository(surface: Column) -> Column:
         out = None
@@ -220,27 +227,34 @@ def accessions(text: Column | str) -> Column:
             out = (F if out is None else out).when(surface.rlike(f"^(?:{pattern})$"), F.lit(name))
         return out
 
-    def described(z: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, y: n + y["p"] + F.length(y["h"])) + z["p"]
-        begin = F.greatest(start - ACCESSION_WINDOW, F.lit(0))
-        context = F.substring(x, begin + 1, start + F.length(z["h"]) + ACCESSION_WINDOW - begin)
-        repo = repository(z["h"])
-        return F.struct(
-            repo.alias("repository"),
-            F.when(repo == "dbGaP", z["h"]).otherwise(F.upper(z["h"])).alias("accession"),
-            F.when(F.lower(context).rlike("|".join(ACCESSION_CUES)), F.lit(0.97)).otherwise(F.lit(0.9)).alias("confidence"),
-            start.alias("start"),
-            z["h"].alias("surface_form"),
-            F.trim(context).alias("context"),
+    def found(x: Column) -> Column:
+        hits, pieces = F.regexp_extract_all(x, F.lit(any_), F.lit(0)), F.split(x, any_, -1)
+        steps = let(F.struct(hits.alias("h"), pieces.alias("p")), lambda v: F.transform(v["h"], lambda h, i: F.struct(F.length(F.get(v["p"], i)).alias("p"), h.alias("h"))))
+        starts = let(steps, lambda v: F.transform(v, lambda z, i: F.struct(z["h"].alias("h"), (z["p"] + F.aggregate(F.slice(v, F.lit(1), i), F.lit(0), lambda n, y: n + y["p"] + F.length(y["h"]))).alias("start"))))
+        ranked = F.array_sort(F.transform(starts, lambda z: described(x, z)), _by_accession)
+        # the most confident of each accession, the first of equals: neighbours in this order
+        new = lambda v, m, i: (i == 0) | (F.get(v, i - 1)["accession"] != m["accession"]) | (F.get(v, i - 1)["repository"] != m["repository"])
+        best = let(ranked, lambda v: F.filter(v, lambda m, i: new(v, m, i)))
+        plain = F.transform(best, lambda m: F.struct(*[m[c].alias(c) for c in ("accession", "repository", "surface_form", "context", "confidence", "start")]))
+        return F.array_sort(plain, lambda a, b: _compare((a["start"], b["start"])))
+
+    def described(x: Column, z: Column) -> Column:
+        begin = F.greatest(z["start"] - ACCESSION_WINDOW, F.lit(0))
+        around = F.substring(x, begin + 1, z["start"] + F.length(z["h"]) + ACCESSION_WINDOW - begin)
+        facts = F.struct(repository(z["h"]).alias("repository"), around.alias("context"), z["h"].alias("h"), z["start"].alias("start"))
+        return let(
+            facts,
+            lambda v: F.struct(
+                v["repository"].alias("repository"),
+                F.when(v["repository"] == "dbGaP", v["h"]).otherwise(F.upper(v["h"])).alias("accession"),
+                F.when(F.lower(v["context"]).rlike("|".join(ACCESSION_CUES)), F.lit(0.97)).otherwise(F.lit(0.9)).alias("confidence"),
+                v["start"].alias("start"),
+                v["h"].alias("surface_form"),
+                F.trim(v["context"]).alias("context"),
+            ),
         )
 
-    # the most confident of each accession, the first of equals: neighbours in this order
-    ranked = F.array_sort(F.transform(sizes, described), _by_accession)
-    best = F.filter(ranked, lambda m, i: (i == 0) | (F.get(ranked, i - 1)["accession"] != m["accession"]) | (F.get(ranked, i - 1)["repository"] != m["repository"]))
-    plain = F.transform(best, lambda m: F.struct(*[m[c].alias(c) for c in ("accession", "repository", "surface_form", "context", "confidence", "start")]))
-    ordered = F.array_sort(plain, lambda a, b: _compare((a["start"], b["start"])))
-    none = F.array().cast("array<struct<accession:string,repository:string,surface_form:string,context:string,confidence:double,start:int>>")
-    return F.when(x.rlike(any_), ordered).otherwise(none)
+    return let(F.coalesce(_c(text), F.lit("")), lambda x: F.when(x.rlike(any_), found(x)).otherwise(none))
 
 
 def _compare(*pairs: tuple[Column, Column]) -> Column:

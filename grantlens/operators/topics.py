@@ -45,8 +45,9 @@ def conditions(spark: SparkSession) -> DataFrame:
 
 def matching(text: Column | str, groups: dict[str, list[str]]) -> Column:
     """Names of the groups of which a word occurs in the text, in order."""
-    hits = F.array(*[F.when(exprs.contains_any(text, words), F.lit(name)) for name, words in groups.items()])
-    return F.filter(hits, lambda x: x.isNotNull())
+    text = F.col(text) if isinstance(text, str) else text
+    hits = lambda low: F.array(*[F.when(exprs.contains_word(low, words), F.lit(name)) for name, words in groups.items()])
+    return F.array_compact(exprs.let(F.lower(F.coalesce(text, F.lit(""))), hits))
 
 
 def match_conditions(text: Column | str) -> Column:
