@@ -54,7 +54,7 @@ def prevalence_mean(rows: DataFrame, measure: str, state: str | None = None, yea
 
 
 def condition_pulse(awards: DataFrame, trials: DataFrame, labels: DataFrame, deaths: DataFrame, areas: DataFrame, keywords: list[str], condition: str, indication: str, cause: str, measure: str, years: list[int], state: str | None = None) -> DataFrame:
-    """One row for a condition: grants and funding in years, trials, approved labels, change in mortality, mean prevalence.
+    """One row for a condition: grants and funding in years, trials and those with results, approved labels, change in mortality, mean prevalence.
 
     Totals of funding keep award-years without a core number; grants count those with one.
     """
@@ -64,5 +64,6 @@ def condition_pulse(awards: DataFrame, trials: DataFrame, labels: DataFrame, dea
     first = F.min_by("aadr", F.when(F.col("aadr").isNotNull(), F.col("year")))
     last = F.max_by("aadr", F.when(F.col("aadr").isNotNull(), F.col("year")))
     change = series.agg(F.round((last - first) / first, 6).alias("mortality_change"))
-    parts = [money, count(trials, condition=condition).withColumnRenamed("total", "trials"), count(labels, indication=indication).withColumnRenamed("total", "labels"), change, prevalence_mean(areas, measure, state)]
+    found = search(trials, "", None, condition=condition).agg(F.count("*").alias("trials"), F.count_if("has_results").alias("trials_with_results"))
+    parts = [money, found, count(labels, indication=indication).withColumnRenamed("total", "labels"), change, prevalence_mean(areas, measure, state)]
     return reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # one row each

@@ -246,6 +246,14 @@ def pi_support_vs_rcr(s, d):
     return grants.support_vs_impact(_a(s, d), _p(s, d), standin.metrics(s, d))
 
 
+@query(
+    _with(*_SUPPORT, _SAMPLE, "pp AS (SELECT DISTINCT sm.pi, l.pmid FROM sm JOIN (SELECT DISTINCT pi, core_project_num FROM e) x ON sm.pi = x.pi JOIN publinks l ON x.core_project_num = l.core_project_num)", "im AS (SELECT pi, CAST(sum(CAST(coalesce(rcr, 0) AS DECIMAL(18,6))) AS DOUBLE) AS rcr_sum FROM pp LEFT JOIN metrics m ON pp.pmid = m.pmid GROUP BY 1)")
+    + "SELECT count(*) AS n, round(1 - 6 * sum((rx - ry) * (rx - ry)) / (CAST(count(*) AS DOUBLE) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) AS spearman FROM (SELECT row_number() OVER (ORDER BY funding, sm.pi) rx, row_number() OVER (ORDER BY round(coalesce(rcr_sum, 0) / (CAST(funding AS DOUBLE) / 1e6), 6), sm.pi) ry FROM sm LEFT JOIN im ON sm.pi = im.pi)"
+)
+def pi_support_spearman(s, d):
+    return grants.support_correlation(grants.support_vs_impact(_a(s, d), _p(s, d), standin.metrics(s, d)))
+
+
 _CITERS = "citers AS (SELECT CAST(p_partkey AS VARCHAR) AS pmid, CAST(p_partkey + 7 * k AS VARCHAR) AS citer FROM part, range(1, 4) t(k) WHERE k <= p_size % 4 AND k <= p_partkey % 4)"
 _TRANSLATION = [
     _CITERS,
@@ -452,6 +460,43 @@ def coverage_report(s, d):
     return graph.coverage(graph.award_nodes(_a(s, d)), _g(s, d)[1], ["produced", "has_pi", "under_foa", "funded_trial"])
 
 
+_WHOLE = """ab AS (SELECT DISTINCT 'AWARD:' || core_project_num AS subject, 'about' AS predicate, 'TOPIC_TERM:' || lower(ic) AS object FROM awards UNION SELECT 'AWARD:' || core_project_num, 'about', 'TOPIC_TERM:' || lower(activity_code) FROM awards),
+ft AS (SELECT DISTINCT 'AWARD:' || core AS subject, 'funded_trial' AS predicate, 'CLINICAL_TRIAL:' || nct_id AS object FROM reported WHERE core IN (SELECT core_project_num FROM awards)),
+wh AS (SELECT *, 'award_registry' AS source FROM ed UNION ALL SELECT *, 'project_field', 'award_registry' FROM ab UNION ALL SELECT *, 'reported_grant_number', 'trial_registry' FROM ft)"""
+
+
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    terms = _a(s, d).select(F.col("core_project_num").alias("core"), F.explode(F.array("ic", "activity_code")).alias("term")).distinct()
+    return graph.portfolio_graph(_a(s, d), _p(s, d), None, standin.reported_trials(s, d), terms)
+
+
+@query(_with(_EDGES, _WHOLE) + "SELECT subject, predicate, object, source, method FROM wh")
+def edges_with_topics_and_trials(s, d):
+    return _whole(s, d)[1].select("subject", "predicate", "object", "source", "method")
+
+
+@query(_with(_EDGES, _WHOLE, "o AS (SELECT * FROM wh WHERE subject IN (SELECT node_id FROM an))") + "SELECT predicate, 'source' AS kind, source AS name, count(*) AS n FROM o GROUP BY 1, 3 UNION ALL SELECT predicate, 'method', method, count(*) FROM o GROUP BY 1, 3")
+def coverage_by_source_and_method(s, d):
+    return graph.coverage_by(graph.award_nodes(_a(s, d)), _whole(s, d)[1])
+
+
+@query(_with(_EDGES, _WHOLE, "o AS (SELECT * FROM wh WHERE subject IN (SELECT node_id FROM an))") + "SELECT predicate, count(DISTINCT subject) AS numerator, count(*) AS authoritative, CAST(0 AS BIGINT) AS inferred, (SELECT count(*) FROM an) AS denominator, round(CAST(count(DISTINCT subject) AS DOUBLE) / (SELECT count(*) FROM an), 6) AS coverage FROM o GROUP BY 1")
+def coverage_of_all_predicates(s, d):
+    return graph.coverage(graph.award_nodes(_a(s, d)), _whole(s, d)[1])
+
+
+@query(_with(_EDGES, _WHOLE) + f"SELECT subject, predicate, object FROM wh WHERE subject = 'AWARD:{_CORE}'")
+def award_graph_edges(s, d):
+    terms = _a(s, d).select(F.col("core_project_num").alias("core"), F.explode(F.array("ic", "activity_code")).alias("term")).distinct()
+    return graph.award_graph(_a(s, d), _p(s, d), _CORE, standin.reported_trials(s, d), terms)[1].select("subject", "predicate", "object")
+
+
+@query(_with() + "SELECT 'INSTITUTION:' || org_name AS node_id, 'INSTITUTION' AS node_type, org_name AS name, arg_max(org_state, (fiscal_year, application_id)) AS state FROM awards GROUP BY org_name")
+def graph_institution_nodes(s, d):
+    rows = graph.attributed(_a(s, d), standin.reported_trials(s, d)).where("node_type = 'INSTITUTION'")
+    return rows.select("node_id", "node_type", F.col("attributes.name").alias("name"), F.col("attributes.state").alias("state"))
+
+
 for _by, _value in (("ic", "ic"), ("mechanism", "activity_code"), ("age", f"CASE WHEN {THIS_YEAR} - fiscal_year < 5 THEN '0-4y' WHEN {THIS_YEAR} - fiscal_year < 10 THEN '5-9y' ELSE '10y+' END")):
     query(_with(_EDGES) + f"SELECT {_value} AS stratum, count(k.subject) AS numerator, count(*) AS denominator, round(CAST(count(k.subject) AS DOUBLE) / count(*), 6) AS coverage FROM an LEFT JOIN (SELECT DISTINCT subject FROM pe) k ON node_id = k.subject GROUP BY 1", f"stratified_coverage_{_by}")(
         lambda s, d, by=_by: graph.stratified_coverage(graph.award_nodes(_a(s, d)), graph.publication_edges(_p(s, d)), "produced", by, THIS_YEAR)
@@ -519,6 +564,14 @@ def nam_method_map(s, d):
     return topics.nam_map(_topics(s, d).withColumn("id", F.col("doc_id").cast("string")), "id", F.col("topic"))
 
 
+_NAM_AREAS = {"models": "Organoid", "risk": "risk", "silico": "in silico"}
+
+
+@query(_NAM + ", ar AS (" + " UNION ALL ".join(f"SELECT '{a}' AS area, id FROM t WHERE contains(lower(topic), '{w.lower()}')" for a, w in _NAM_AREAS.items()) + "), c AS (SELECT area, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT id FROM m)) AS k FROM ar GROUP BY 1) SELECT area, n AS grants_scanned, k AS grants_with_nam, CAST(k AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ' grants (' || CAST(CAST(round(100 * k / n) AS BIGINT) AS VARCHAR) || '%) mention a method; no mention means unknown' AS note FROM c")
+def nam_areas(s, d):
+    return topics.nam_areas(_topics(s, d), "doc_id", F.col("topic"), _NAM_AREAS)
+
+
 # ---------------------------------------------------------------- pulse, brief, report
 
 
@@ -527,6 +580,11 @@ def pulse_funding_by_year(s, d):
     return topics.pulse(_a(s, d), YEARS)
 
 
+@query(_with("c AS (SELECT *, row_number() OVER (PARTITION BY fiscal_year ORDER BY application_id) AS r, count(*) OVER (PARTITION BY fiscal_year) AS records FROM awards WHERE fiscal_year IN (1995, 1996, 1997, 1998, 1999))") + f"SELECT fiscal_year, count(DISTINCT core_project_num) AS grants, CAST({_MONEY} AS DOUBLE) AS funding, any_value(records) AS records, any_value(records) > 100 AS capped FROM c WHERE r <= 100 GROUP BY 1")
+def pulse_funding_capped(s, d):
+    return topics.pulse(_a(s, d), YEARS, per_year_cap=100)
+
+
 @query(_with(f"y AS (SELECT ic, fiscal_year, CAST({_MONEY} AS DOUBLE) AS f FROM awards GROUP BY 1, 2)") + "SELECT ic, arg_min(f, fiscal_year) AS first_value, arg_max(f, fiscal_year) AS last_value, round((arg_max(f, fiscal_year) - arg_min(f, fiscal_year)) / arg_min(f, fiscal_year), 6) AS pct_change FROM y GROUP BY 1")
 def series_pct_change(s, d):
     series = _a(s, d).groupBy("ic", "fiscal_year").agg(portfolio.cost().cast("double").alias("f"))
@@ -534,13 +592,13 @@ def series_pct_change(s, d):
 
 
 _TOP = [
-    "once AS (SELECT core_project_num AS g, arg_min(ic, (fiscal_year, application_id)) AS ic, arg_min(activity_code, (fiscal_year, application_id)) AS ac, arg_min(org_name, (fiscal_year, application_id)) AS org FROM awards GROUP BY 1)",
-    "kinds AS (SELECT 'ic' AS kind, ic AS name FROM once UNION ALL SELECT 'mechanism', ac FROM once UNION ALL SELECT 'institution', org FROM once)",
-    "ranked AS (SELECT kind, name, count(*) AS grants, CAST(row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) AS INT) AS rank FROM kinds GROUP BY 1, 2)",
+    "once AS (SELECT core_project_num AS g, " + ", ".join(f"arg_min({c}, (fiscal_year, application_id)) AS {c}" for c in ("ic", "activity_code", "org_name", "pi_names", "total_cost")) + " FROM awards GROUP BY 1)",
+    "kinds AS (SELECT 'ic' AS kind, ic AS name, total_cost AS cost FROM once UNION ALL SELECT 'mechanism', activity_code, total_cost FROM once UNION ALL SELECT 'institution', org_name, total_cost FROM once UNION ALL SELECT 'pi', unnest(list_transform(string_split(pi_names, ';'), lambda x: trim(replace(x, '(contact)', '')))), total_cost FROM once)",
+    "ranked AS (SELECT kind, name, count(*) AS grants, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) AS funding, CAST(row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) AS INT) AS rank FROM kinds WHERE name <> '' GROUP BY 1, 2)",
 ]
 
 
-@query(_with(*_TOP) + "SELECT kind, name, grants, rank FROM ranked WHERE rank <= 10")
+@query(_with(*_TOP) + "SELECT kind, name, grants, funding, rank FROM ranked WHERE rank <= 10")
 def brief_top_entities(s, d):
     return topics.top_entities(_a(s, d))
 
@@ -550,9 +608,84 @@ def brief_totals(s, d):
     return topics.brief(_a(s, d), _p(s, d), standin.metrics(s, d))["totals"]
 
 
-@query(_with(*_TOP, "h AS (SELECT string_agg(name, ',' ORDER BY name) AS hit FROM ranked WHERE kind = 'ic' AND rank <= 10 AND name IN ('BUILDING', 'NONE'))", "n AS (SELECT count(DISTINCT core_project_num) AS n FROM awards)") + "SELECT 'min_awards' AS \"check\", n >= 40 AS passed, CAST(n AS VARCHAR) || ' awards (expected >= 40)' AS detail FROM n UNION ALL SELECT 'ics_any', coalesce(hit, '') <> '', 'top institutes among those expected: ' || coalesce(hit, '') FROM h")
+@query(
+    _with(*_TOP, "h AS (SELECT string_agg(name, ',' ORDER BY name) AS hit FROM ranked WHERE kind = 'ic' AND rank <= 10 AND name IN ('BUILDING', 'NONE'))", "n AS (SELECT count(DISTINCT core_project_num) AS n FROM awards)", "r AS (SELECT count(DISTINCT nct_id) AS n FROM reported WHERE core IN (SELECT core_project_num FROM awards))", "dr AS (SELECT count(*) AS n FROM part WHERE contains(lower(p_type), 'ischemic stroke'))")
+    + """SELECT 'min_awards' AS "check", n >= 40 AS passed, CAST(n AS VARCHAR) || ' awards (expected >= 40)' AS detail FROM n UNION ALL SELECT 'ics_any', coalesce(hit, '') <> '', 'top institutes among those expected: ' || coalesce(hit, '') FROM h
+UNION ALL SELECT 'condition', TRUE, 'condition Stroke (expected Stroke)' UNION ALL SELECT 'trials', n > 0, CAST(n AS VARCHAR) || ' linked trials' FROM r UNION ALL SELECT 'drugs', n > 0, CAST(n AS VARCHAR) || ' approved drugs' FROM dr"""
+)
 def benchmark_checks(s, d):
-    return topics.checks(_a(s, d), topics.Expect(40, ["BUILDING", "NONE"]))
+    return topics.checks(_a(s, d), topics.Expect(40, ["BUILDING", "NONE"], "stroke", True, True), topic="Cerebrovascular care", trials=standin.reported_trials(s, d), labels=_labels(s, d))
+
+
+_ABSTRACT = "'Counts are deposited under GSE' || CAST(1000 + c_custkey AS STRING) || '; reads: SRP' || CAST(20000 + c_custkey % 7 AS STRING)"
+_ABSTRACTS = f"abstracts AS (SELECT {standin.RENUMBERED} AS core_project_num, {_ABSTRACT} AS text, CAST(1000 + c_custkey AS VARCHAR) AS gse, CAST(20000 + c_custkey % 7 AS VARCHAR) AS srp FROM customer)"
+
+
+def _abstracts(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "customer").selectExpr(f"{standin.RENUMBERED} AS core_project_num", f"{_ABSTRACT} AS text")
+
+
+_SAMPLED = [_ABSTRACTS, "sample AS (SELECT core_project_num AS core, max(total_cost) AS cost FROM awards GROUP BY 1 ORDER BY cost DESC, core LIMIT 12)", "sl AS (SELECT DISTINCT core_project_num AS core, pmid FROM publinks WHERE core_project_num IN (SELECT core FROM sample))"]
+
+
+def _brief(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return topics.brief(_a(s, d), _p(s, d), standin.metrics(s, d), standin.reported_trials(s, d), _abstracts(s, d), _deaths(s, d), _labels(s, d), "Stroke in BUILDING")
+
+
+@query(_with(*_SAMPLED) + "SELECT (SELECT count(*) FROM sample) AS sampled, (SELECT count(DISTINCT core) FROM sl) AS with_publication, (SELECT count(DISTINCT core) FROM reported WHERE core IN (SELECT core FROM sample)) AS with_trial, (SELECT count(DISTINCT core_project_num) FROM abstracts WHERE core_project_num IN (SELECT core FROM sample)) AS with_dataset, (SELECT count(*) FROM sl) AS publications")
+def brief_sample_coverage(s, d):
+    return _brief(s, d)["sample_coverage"]
+
+
+@query(_with(*_SAMPLED) + "SELECT nct_id, min(title) AS title FROM reported WHERE core IN (SELECT core FROM sample) GROUP BY 1 ORDER BY 1 LIMIT 10")
+def brief_trials(s, d):
+    return _brief(s, d)["trials"]
+
+
+@query(_with(*_SAMPLED) + "SELECT DISTINCT dataset FROM (SELECT unnest(['GEO:GSE' || gse, 'SRA:SRP' || srp]) AS dataset FROM abstracts WHERE core_project_num IN (SELECT core FROM sample)) ORDER BY 1 LIMIT 15")
+def brief_datasets(s, d):
+    return _brief(s, d)["datasets"]
+
+
+@query(_with(*_SAMPLED) + "SELECT x.pmid, rcr, apt FROM (SELECT DISTINCT pmid FROM sl) x LEFT JOIN metrics m ON x.pmid = m.pmid ORDER BY coalesce(rcr, 0) DESC, x.pmid LIMIT 10")
+def brief_publications(s, d):
+    return _brief(s, d)["publications"]
+
+
+@query("SELECT 'Stroke' AS condition, CAST(NULL AS DOUBLE) AS first_value, CAST(NULL AS DOUBLE) AS last_value, CAST(NULL AS DOUBLE) AS pct_change, (SELECT count(*) FROM part WHERE contains(lower(p_type), 'ischemic stroke')) AS approved_drugs")
+def brief_outcome(s, d):
+    return _brief(s, d)["outcome"]
+
+
+@query(_with(_ABSTRACTS, "u AS (SELECT core_project_num AS c, count(DISTINCT pmid) AS publications FROM publinks GROUP BY 1)", "f AS (SELECT core_project_num AS c, round(CAST(count(*) FILTER (WHERE has_pmc) AS DOUBLE) / count(*), 3) AS pmc_fraction FROM (SELECT DISTINCT core_project_num, pmid FROM publinks) x JOIN metrics m ON x.pmid = m.pmid GROUP BY 1)")
+    + "SELECT a.core_project_num, 'GEO:GSE' || gse || ';SRA:SRP' || srp AS dataset_accessions, coalesce(publications, 0) AS publications, pmc_fraction, a.core_project_num IN (SELECT core FROM reported) AS has_registered_trial FROM abstracts a LEFT JOIN u ON a.core_project_num = u.c LEFT JOIN f ON a.core_project_num = f.c")
+def open_science_signals(s, d):
+    return grants.open_science_signals(_abstracts(s, d), _p(s, d), standin.metrics(s, d), standin.reported_trials(s, d))
+
+
+_TERMS = "lower(project_title || ' ' || ic_name || ' ' || activity_code || ' ' || org_state || CASE WHEN fiscal_year % 2 = 1 THEN ' ' || org_name ELSE '' END)"
+_REDUNDANT = [
+    f"x AS (SELECT core_project_num AS g, application_id AS i, project_title AS title, list_sort(list_distinct(string_split({_TERMS}, ' '))) AS w, regexp_extract_all(coalesce(pi_ids, ''), '([0-9]+)', 1) AS pis FROM awards)",
+    "y AS (SELECT g, min(i) AS seen, arg_min(w, (-len(w), i)) AS w, arg_min(title, (-len(w), i)) AS title, arg_min(i, (-len(w), i)) AS at FROM x GROUP BY 1)",
+    "z AS (SELECT * FROM y WHERE len(w) >= 8 ORDER BY seen LIMIT 80)",
+    "k AS (SELECT z.g, list_distinct(flatten(list(x.pis))) AS pis FROM z JOIN x ON z.g = x.g AND x.i >= z.at GROUP BY 1)",
+    "pr AS (SELECT a.g AS a, b.g AS b, a.title AS title_a, b.title AS title_b, list_intersect(a.w, b.w) AS s, len(a.w) + len(b.w) AS n, list_has_any(p.pis, q.pis) AS same_pi FROM z a JOIN z b ON a.g < b.g JOIN k p ON a.g = p.g JOIN k q ON b.g = q.g)",
+    "pj AS (SELECT *, CAST(len(s) AS DOUBLE) / (n - len(s)) AS j FROM pr WHERE CAST(len(s) AS DOUBLE) / (n - len(s)) >= 0.4)",
+]
+
+
+def _with_terms(s: SparkSession, d: str) -> DataFrame:
+    return _a(s, d).withColumn("terms", F.split(F.expr(_TERMS), " "))
+
+
+@query(_with(*_REDUNDANT) + "SELECT a, b, title_a, title_b, round(j, 3) AS jaccard, array_to_string(list_sort(s)[1:12], ' ') AS shared_terms, same_pi FROM pj ORDER BY jaccard DESC, a, b LIMIT 25")
+def redundancy_pairs(s, d):
+    return grants.redundancy(_with_terms(s, d))["pairs"]
+
+
+@query(_with(*_REDUNDANT) + "SELECT (SELECT count(*) FROM z) AS grants_analyzed, count(*) AS n_pairs, count(*) FILTER (WHERE NOT same_pi) AS cross_pi FROM pj")
+def redundancy_totals(s, d):
+    return grants.redundancy(_with_terms(s, d))["totals"]
 
 
 @query(_with() + f"SELECT fiscal_year, CAST({_MONEY} AS DOUBLE) AS funding, count(DISTINCT core_project_num) AS grants FROM awards WHERE total_cost > 0 AND ic = '{IC}' AND fiscal_year IN ({', '.join(map(str, YEARS))}) GROUP BY 1")
@@ -560,6 +693,24 @@ def portfolio_report_trend(s, d):
     return topics.report(_a(s, d), _p(s, d), IC, YEARS)["trend"]
 
 
+def _report(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    trials = _read(s, d, "events").selectExpr("CASE WHEN event_type = 'click' THEN 'After Stroke' ELSE event_type END AS condition", "value > 50 AS has_results")
+    return topics.report(_a(s, d), _p(s, d), IC, YEARS, "stroke", standin.metrics(s, d), trials, _labels(s, d).withColumn("indication", F.replace("indication", F.lit("PROMO"), F.lit("Ischemic stroke"))), _deaths(s, d).withColumn("cause_name", F.when(F.col("cause_name") == IC, "Stroke").otherwise(F.col("cause_name"))))
+
+
+@query(_with(f"c AS (SELECT DISTINCT pmid FROM publinks WHERE core_project_num IN (SELECT core_project_num FROM awards WHERE total_cost > 0 AND ic = '{IC}' AND fiscal_year IN ({', '.join(map(str, YEARS))})) ORDER BY 1 LIMIT 250)") + "SELECT count(*) AS sampled, count(rcr) AS rated, round(median(rcr), 6) AS median_rcr FROM c LEFT JOIN metrics m ON c.pmid = m.pmid")
+def portfolio_report_citation(s, d):
+    return _report(s, d)["citation"]
+
+
+@query(
+    _with(f"y AS (SELECT fiscal_year AS year, round(CAST({_MONEY} AS DOUBLE) / 1e6, 4) AS aadr FROM awards WHERE ic = '{IC}' AND fiscal_year IN ({', '.join(map(str, YEARS))}) GROUP BY 1)")
+    + f"SELECT (SELECT count(*) FROM events WHERE event_type = 'click') AS trials, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > 50) AS trials_with_results, (SELECT count(*) FROM part WHERE contains(p_type, 'PROMO')) AS approved_drugs, arg_min(aadr, year) AS first_value, arg_max(aadr, year) AS last_value, round((arg_max(aadr, year) - arg_min(aadr, year)) / arg_min(aadr, year), 6) AS pct_change, '{topics.CONDITION_CAVEAT}' AS caveat FROM y"
+)
+def portfolio_report_outcome(s, d):
+    return _report(s, d)["outcome"]
+
+
 @query()
 def rfa_regression(s, d):
     return portfolio.regression(portfolio.grant_panel(_a(s, d), _p(s, d)))
@@ -604,10 +755,10 @@ def success_rate_clean(s, d):
 
 
 def _trials(s: SparkSession, d: str) -> DataFrame:
-    return _read(s, d, "events").select(F.concat(F.lit("NCT"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("nct_id"), F.col("event_type").alias("condition"), F.col("props").alias("detail"), F.array(F.concat(F.lit("R01CA"), F.lpad((F.col("event_id") % 1000).cast("string"), 6, "0"))).alias("grants"))
+    return _read(s, d, "events").select(F.concat(F.lit("NCT"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("nct_id"), F.col("event_type").alias("condition"), F.col("props").alias("detail"), (F.col("value") > 50).alias("has_results"), F.array(F.concat(F.lit("R01CA"), F.lpad((F.col("event_id") % 1000).cast("string"), 6, "0"))).alias("grants"))
 
 
-_TRIALS = "trials AS (SELECT 'NCT' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS nct_id, event_type AS condition, props AS detail, 'R01CA' || lpad(CAST(event_id % 1000 AS VARCHAR), 6, '0') AS number FROM events)"
+_TRIALS = "trials AS (SELECT 'NCT' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS nct_id, event_type AS condition, props AS detail, value > 50 AS has_results, 'R01CA' || lpad(CAST(event_id % 1000 AS VARCHAR), 6, '0') AS number FROM events)"
 _LABELS = "labels_ AS (SELECT p_partkey AS label_id, p_name AS brand, p_type AS indication FROM part)"
 _DEATHS = "deaths AS (SELECT c_mktsegment AS cause_name, CAST(year(o_orderdate) AS INT) AS year, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e6, 4) AS aadr FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 _AREAS = "areas AS (SELECT c_mktsegment AS measure, 'S' || CAST(c_nationkey AS VARCHAR) AS state, 2001 AS year, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS value FROM customer)"
@@ -702,7 +853,7 @@ def foa_resolve(s, d):
     + f"""SELECT (SELECT count(DISTINCT core_project_num) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS grants,
 (SELECT CAST({_MONEY} AS DOUBLE) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS funding,
 (SELECT count(*) FROM awards WHERE contains(lower(project_title), 'building') AND fiscal_year IN (1995, 1996, 1997, 1998, 1999)) AS award_years,
-(SELECT count(*) FROM trials WHERE contains(lower(condition), 'click')) AS trials, (SELECT count(*) FROM labels_ WHERE contains(lower(indication), 'promo')) AS labels,
+(SELECT count(*) FROM trials WHERE contains(lower(condition), 'click')) AS trials, (SELECT count(*) FROM trials WHERE contains(lower(condition), 'click') AND has_results) AS trials_with_results, (SELECT count(*) FROM labels_ WHERE contains(lower(indication), 'promo')) AS labels,
 (SELECT round((arg_max(aadr, year) - arg_min(aadr, year)) / arg_min(aadr, year), 6) FROM deaths WHERE cause_name = 'BUILDING') AS mortality_change,
 (SELECT count(value) FROM areas WHERE measure = 'BUILDING') AS areas, (SELECT round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) FROM areas WHERE measure = 'BUILDING') AS mean_prevalence"""
 )
@@ -711,7 +862,15 @@ def condition_pulse(s, d):
 
 
 def _meta(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    return topics.meta_brief(_a(s, d), _p(s, d), standin.metrics(s, d), standin.citers(s, d))
+    return topics.meta_brief(_a(s, d), _p(s, d), standin.metrics(s, d), standin.citers(s, d), trials=standin.reported_trials(s, d))
+
+
+@query(
+    _with("best AS (SELECT core_project_num AS c FROM awards GROUP BY 1 ORDER BY " + _MONEY + " DESC, 1 LIMIT 8)", "f AS (SELECT core_project_num AS c, round(CAST(count(*) FILTER (WHERE has_pmc) AS DOUBLE) / count(*), 3) AS pmc_fraction FROM (SELECT DISTINCT core_project_num, pmid FROM publinks) x JOIN metrics m ON x.pmid = m.pmid WHERE core_project_num IN (SELECT c FROM best) GROUP BY 1)", *[x.replace(_TERMS, "regexp_replace(lower(project_title), '[^a-z0-9]+', ' ', 'g')").replace(">= 8", ">= 4") for x in _REDUNDANT])
+    + f"SELECT (SELECT count(DISTINCT core_project_num) FROM awards) AS grants, (SELECT CAST({_MONEY} AS DOUBLE) FROM awards) AS funding, (SELECT count(*) FROM best) AS sampled, (SELECT round(CAST(sum(CAST(pmc_fraction AS DECIMAL(18,3))) AS DOUBLE) / count(*), 3) FROM f) AS pmc_fraction, (SELECT count(*) FROM best WHERE c IN (SELECT core FROM reported)) AS grants_with_trial, (SELECT count(*) FROM pj WHERE NOT same_pi) AS cross_pi"
+)
+def meta_brief_summary(s, d):
+    return _meta(s, d)["summary"]
 
 
 @query(_with(*_TRANSLATION, "best AS (SELECT c FROM g ORDER BY f DESC, c LIMIT 8)") + 'SELECT tr.* FROM tr JOIN best ON "grant" = best.c')

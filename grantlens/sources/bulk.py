@@ -50,7 +50,7 @@ def build(spark: SparkSession, awards: list[str], publinks: list[str], root: str
 
 
 #: Tables that a store may have besides awards and links.
-OPTIONAL = ("metrics", "citers", "trials", "labels", "mortality", "prevalence")
+OPTIONAL = ("metrics", "citers", "trials", "labels", "mortality", "prevalence", "articles", "assays", "success_rates", "terms", "abstracts")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -73,6 +73,20 @@ def data_dir() -> Path:
     return Path(os.environ.get("GRANTLENS_DATA") or Path.home() / ".cache" / "grantlens")
 
 
+# Kinds of yearly files, the segment of their address, the name of the local file.
+KINDS = {"projects": ("projects", "RePORTER_PRJ_C_FY{year}.zip"), "publinks": ("linktables", "RePORTER_PUBLNK_C_{year}.zip")}
+EXPORTER_URL = "https://reporter.nih.gov/exporter/{segment}/download/{year}"
+
+
+def yearly(kind: str, year: int, force: bool = False, root: Path | None = None) -> Path:
+    """The CSV of a kind (projects by fiscal year, publinks by calendar year) and year, fetched and unpacked where it is not yet there."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}: {', '.join(KINDS)}")
+    segment, name = KINDS[kind]
+    to = (root or data_dir() / "raw" / "exporter") / name.format(year=year)
+    return extract_csv(download(EXPORTER_URL.format(segment=segment, year=year), to, force))
+
+
 def download(url: str, to: Path, force: bool = False, timeout: int = 600) -> Path:
     """Fetch a file by way of a .part file; one that is there and not empty is used again."""
     if to.exists() and to.stat().st_size and not force:
