@@ -118,6 +118,54 @@ def test_topics(spark):
     assert topics.conditions(spark).count() == 10
 
 
+def test_investigators_without_number_have_their_name(spark):
+    a = spark.createDataFrame([award(1, "A", 2000, 1.0, "12 (contact); ; 7"), award(2, "B", 2000, 1.0, None)], AWARD).withColumn("pi_names", F.when(F.col("application_id") == 1, "DOE, J (contact);ROE, R;"))
+    edges = graph.entity_edges(a).where("predicate = 'has_pi'").collect()
+    assert sorted(e.object for e in edges) == ["PI:12", "PI:7", "PI:ROE, R"]
+    names = {r.node_id: r.attributes for r in graph.attributed(a).collect()}
+    assert names["PI:12"] == {"name": "DOE, J"} and names["PI:7"] == {} and names["AWARD:B"]["title"] == "t"
+
+
+def test_redundancy(spark):
+    words = [f"w{k}" for k in range(10)]
+    rows = [(award(1, "A", 2000, 1.0, "1"), words), (award(2, "A", 2001, 1.0, "9"), words[:3]), (award(3, "B", 2000, 1.0, "2"), [*words[:9], "X"]), (award(4, "C", 2000, 1.0, "3"), ["q"] * 12), (award(5, "D", 2000, 1.0, "9"), [w.upper() for w in words])]
+    df = spark.createDataFrame([(*a, w) for a, w in rows], AWARD + ", terms array<string>")
+    made = grants.redundancy(df)
+    assert [(r.a, r.b, r.jaccard, r.same_pi) for r in made["pairs"].collect()] == [("A", "D", 1.0, True), ("A", "B", 0.818, False), ("B", "D", 0.818, False)]
+    assert tuple(made["totals"].first()) == (3, 3, 2)
+
+
+@pytest.mark.parametrize("top", [1, 3, 10, 500])
+def test_closest_pairs_are_those_of_all(spark, top):
+    import random
+
+    rnd = random.Random(top)
+    sets = [sorted(rnd.sample(range(14), rnd.randint(4, 8))) for _ in range(12)]
+    df = spark.createDataFrame([(i, [str(w) for w in rnd.choice(sets)]) for i in range(70)], "id long, words array<string>")
+    every = sorted(((-r.jaccard, r.a, r.b) for r in grants.similar_grants(df, 0.3, 4, top=None).collect()))
+    assert [(-r.jaccard, r.a, r.b) for r in grants.similar_grants(df, 0.3, 4, top=top).collect()] == every[:top]
+
+
+def test_regression_is_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    kinds, acts = ["RFA", "PA", "PAR"], ["R01", "U01"]
+    rows = [(kinds[rng.integers(3)], acts[rng.integers(2)], int(2000 + rng.integers(3)), float(np.exp(rng.normal(12, 1))), int(rng.integers(20))) for _ in range(400)]
+    got = {r.term: (r.beta, r.pct_diff) for r in portfolio.regression(spark.createDataFrame(rows, "foa_type string, activity string, start_fy int, funding double, pubs long")).collect()}
+    x = np.array([[1, np.log(f), k == "PAR", k == "RFA", a == "U01", y == 2001, y == 2002] for k, a, y, f, _ in rows], float)
+    beta = np.linalg.lstsq(x, np.log1p([r[4] for r in rows]), rcond=None)[0]
+    assert got["foa_type=PAR"][0] == pytest.approx(beta[2], abs=1e-6) and got["foa_type=RFA"][0] == pytest.approx(beta[3], abs=1e-6)
+    assert got["foa_type=RFA"][1] == pytest.approx(100 * (np.exp(beta[3]) - 1), abs=1e-4)
+
+
+def test_reports_refuse_unknown_conditions(awards, links):
+    with pytest.raises(ValueError, match="unknown condition"):
+        topics.report(awards, links, "CA", [2000], "nothing known")
+    assert "outcome" not in topics.report(awards, links, "CA", [2000], " none ")
+    assert topics.condition_of("ALZHEIMERS")[0] == "alzheimers" and topics.condition_of("insulin pumps")[0] == "diabetes" and topics.condition_of("x") is None
+
+
 def test_pulse_cap_is_told(awards):
     rows = {r.fiscal_year: r for r in topics.pulse(awards, [2010, 2011], per_year_cap=1).collect()}
     assert rows[2010].capped and rows[2010].grants == 1

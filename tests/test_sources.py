@@ -103,3 +103,25 @@ def test_workbook(spark, tmp_path):
     rows = [(r + [None] * 4)[:4] for r in web.workbook_rows(tmp_path / "w.xlsx")]
     got = records.success_rates(spark.createDataFrame(rows, "fy string, reviewed string, awarded string, rate string")).collect()
     assert [tuple(r) for r in got] == [(2001, 10, 3, 0.3)]
+
+
+def test_yearly_files_have_addresses(tmp_path, monkeypatch):
+    import zipfile
+
+    import pytest
+
+    from grantlens.sources import bulk
+
+    asked = []
+
+    def download(url, to, force=False, timeout=600):
+        asked.append(url)
+        with zipfile.ZipFile(to, "w") as z:
+            z.writestr("rows.csv", "A")
+        return to
+
+    monkeypatch.setattr(bulk, "download", download)
+    assert bulk.yearly("publinks", 2013, root=tmp_path).read_text() == "A"
+    assert asked == ["https://reporter.nih.gov/exporter/linktables/download/2013"] and (tmp_path / "RePORTER_PUBLNK_C_2013.zip").exists()
+    with pytest.raises(ValueError, match="kind"):
+        bulk.yearly("else", 2013)
