@@ -24,7 +24,8 @@ from .common import Scratch, components, mix, read, with_components
 from .shards import shard_count, visit, whole
 
 THRESHOLD = 0.95
-LEAST_ROWS, MOST_ROWS = 8192, 65536
+#: Rows of a shard. Every query visits every shard, and a visit grows with the logarithm of the shard: few large shards are less work.
+LEAST_ROWS, MOST_ROWS = 32768, 65536
 NEIGHBOURS = 12
 BUILD_BEAM = 48
 LEAST_BEAM = 32
