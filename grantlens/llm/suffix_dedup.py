@@ -36,7 +36,7 @@ from .common import Scratch, make_room, mix, powers, prefix_hash, read, text_byt
 
 LENGTH = 200
 CORE = 100
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 BATCH_ENTRIES = 1 << 15
 HOT_RUNS = 4096
 _LOW = np.uint64((1 << 22) - 1)
@@ -177,6 +177,7 @@ def _second_family():
     """Marks pass; entries of all tasks meet by core. Left are the runs whose core has others that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         family = Family(7)
         for batch in batches:
             c = _columns(batch)
@@ -246,6 +247,7 @@ def _third_family(length: int):
     """Marks of windows that repeat, as (id, mark, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         family = Family(3)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
