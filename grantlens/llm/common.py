@@ -194,8 +194,6 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
@@ -244,18 +242,10 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums whose differences are, times a power of the base, hashes of substrings: cheap for every substring of one length, but
-    unequal substrings can be built that share them, so what they find equal has to be compared."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
-    return out
-
-
 #: Spans longer than this are hashed one by one.
 _LONG_SPAN = 64
-_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Masks of the first bytes of a word of eight.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -269,7 +259,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         left = left[size[left] > k]
         if not len(left):
             break
-        h[left] = mix((h[left] ^ (at_byte[start[left] + k] & _KEPT[np.minimum(size[left] - k, 8)])) * _BASE)
+        h[left] = mix((h[left] ^ (at_byte[start[left] + k] & KEPT[np.minimum(size[left] - k, 8)])) * _BASE)
     for i in np.flatnonzero(size > _LONG_SPAN).tolist():
         h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return h

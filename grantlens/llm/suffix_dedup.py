@@ -15,7 +15,9 @@ the ends of repeated passages, their windows are compared one by one, by a third
 these runs are fetched once, and runs of a core with more than HOT_RUNS different ones are dealt by window, so no task
 gathers them.
 
-Equality is that of a 64-bit fingerprint of the text among strings whose cores have equal 64-bit fingerprints as well.
+Equality is that of a 64-bit fingerprint of the text among strings whose cores have equal 64-bit fingerprints as well. Fingerprints
+are sums over each eight bytes, mixed without linear structure first, so that unequal texts that share one cannot be built from
+the powers of the base alone.
 
 Edge cases: null and empty texts and those below `length` bytes lose nothing; texts of any length are read whole, in overlapping
 pieces; rows with equal id and text lose all of it if it is long enough, as each starts in the other; rows with one id and
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .common import Scratch, make_room, mix, powers, prefix_hash, read, text_bytes
+from .common import KEPT, Scratch, make_room, mix, powers, read, text_bytes
 
 LENGTH = 200
 CORE = 100
@@ -88,12 +90,27 @@ class Family:
         return out
 
 
+def _sums(data: np.ndarray, core: int) -> tuple[np.ndarray, int]:
+    """Sums of the mixed words at each place of data, times powers of the base, and the bytes of a word (eight, or the core if it is less).
+
+    A string from start to end has the words at start ... end - bytes, which cover each of its bytes.
+    """
+    unit = min(8, core)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = mix((np.ndarray(len(data), "<u8", padded, strides=(1,)) & KEPT[unit]) ^ _A)
+    up, _ = powers(len(data) + 1)
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(words * up[: len(data)], out=out[1:])
+    return out, unit
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """core fingerprint, run fingerprint, first start, number of starts and core offset of each run of a text."""
-    sums = prefix_hash(data)
+    sums, unit = _sums(data, core)
     _, down = powers(len(sums))
     n = len(data) - core + 1
-    h = mix((sums[core:] - sums[:-core]) * down[:n])
+    inner = core - unit + 1
+    h = mix((sums[inner : inner + n] - sums[:n]) * down[:n])
     low = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
     width, span = length - core + 1, 1
     while span * 2 <= width:
@@ -105,7 +122,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[n
     start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     end = np.append(start[1:], len(anchor))
     run = end - start
-    whole = mix((sums[end - 1 + length] - sums[start]) * down[start] + run.astype(np.uint64))
+    whole = mix((sums[end + length - unit] - sums[start]) * down[start] + run.astype(np.uint64))
     return h[anchor[start]], whole, start, run, anchor[start] - start
 
 
@@ -206,7 +223,7 @@ def _second_family():
 WINDOW = "deal long, core long, id long, mark long, start long, run int, offset int, hit boolean, piece binary"
 
 
-def _windows_of(length: int):
+def _windows_of(length: int, core_bytes: int):
     """From (id, mark, text, runs) to the text of each run, or for runs of hot cores to single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +241,7 @@ def _windows_of(length: int):
                     if r["others"] <= HOT_RUNS:
                         out.append((r["core"], r["core"], id_, mark, r["start"], r["run"], r["offset"], r["hit"], piece.tobytes()))
                     else:
-                        keys = _window_keys(piece, np.array([0]), np.array([r["run"]]), length).astype(np.int64)
+                        keys = _window_keys(piece, np.array([0]), np.array([r["run"]]), length, core_bytes).astype(np.int64)
                         out += [(int(k), r["core"], id_, mark, r["start"] + j, 1, r["offset"] - j, r["hit"], None) for j, k in enumerate(keys)]
                     if len(out) >= 4096:
                         yield rows(out)
@@ -235,15 +252,15 @@ def _windows_of(length: int):
     return run
 
 
-def _window_keys(data: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray:
+def _window_keys(data: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, core: int) -> np.ndarray:
     """Fingerprints of the windows that start at at, at + 1, ... in data."""
-    sums = prefix_hash(data)
+    sums, unit = _sums(data, core)
     _, down = powers(len(sums))
     start = np.repeat(at - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
-    return mix((sums[start + length] - sums[start]) * down[start])
+    return mix((sums[start + length - unit + 1] - sums[start]) * down[start])
 
 
-def _third_family(length: int):
+def _third_family(length: int, core_bytes: int):
     """Marks of windows that repeat, as (id, mark, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +279,7 @@ def _third_family(length: int):
                 if whole.any():
                     joined = np.frombuffer(b"".join(x.as_py() for x in pieces if x.is_valid), np.uint8)
                     sizes = runs[whole] + length - 1
-                    key[whole[row]] = _window_keys(joined, np.cumsum(sizes) - sizes, runs[whole], length)
+                    key[whole[row]] = _window_keys(joined, np.cumsum(sizes) - sizes, runs[whole], length, core_bytes)
                 check = mix(core.astype(np.uint64)[row] * _A + (offset[row] - j).astype(np.uint64))
                 value = np.column_stack((ids[row], marks[row], start[row] + j))
                 gone = family.add(key, check, hit.astype(bool)[row], value)
@@ -296,8 +313,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, core
     open_ = found.where("kind = 1").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "start", "run", "offset", "hit", "others")).alias("runs"))
     fetched = texts.join(open_.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "runs")
     # rows with one identity bring the same runs twice, and rightly match: each text starts in the other row too
-    windows = fetched.mapInArrow(_windows_of(length), WINDOW).repartition("deal")
-    spans = scratch.save(windows.mapInArrow(_third_family(length), "id long, mark long, start long, end long"), "spans", 2000)
+    windows = fetched.mapInArrow(_windows_of(length, core), WINDOW).repartition("deal")
+    spans = scratch.save(windows.mapInArrow(_third_family(length, core), "id long, mark long, start long, end long"), "spans", 2000)
     scratch.release()
     return spans.union(found.where("kind = 0").select("id", "mark", "start", (F.col("start") + F.col("run") + F.lit(length - 1)).alias("end")))
 
@@ -344,7 +361,6 @@ def cut(docs: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
     return rows.mapInArrow(run, StructType([*docs.schema.fields]).add(name, fields))
 
 
-
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from each text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

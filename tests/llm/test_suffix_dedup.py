@@ -52,6 +52,27 @@ def test_hot_runs_are_dealt_by_window(spark, monkeypatch):
     assert [(r.n_removed, r.n_spans) for r in rows] == [w[1:3] for w in brute([r.text for r in rows], 60)]
 
 
+@pytest.mark.parametrize("core", [5, 8, 30])
+def test_fingerprints_are_of_the_strings_alone(core):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    # two symbols, their exchange and powers of two as lengths: what cancels in sums of plain bytes
+    signs = np.array([bin(i).count("1") & 1 for i in range(128)])
+    blocks = [np.where(signs ^ swap, 65, 97).astype(np.uint8) for swap in (0, 1)]
+    data = np.concatenate([rng.integers(97, 99, 40).astype(np.uint8), blocks[0], blocks[1], blocks[0], blocks[0], blocks[1]])
+    length = 128
+    at = np.arange(len(data) - length + 1)
+    keys = suffix_dedup._window_keys(data, np.array([0]), np.array([len(at)]), length, core)
+    texts = [data[i : i + length].tobytes() for i in at]
+    assert len(set(texts)) < len(texts) and len({*zip(keys.tolist(), texts, strict=True)}) == len(set(texts)) == len(set(keys.tolist()))
+    one = suffix_dedup.anchors(data, length, core)
+    two = suffix_dedup.anchors(data[7:], length, core)
+    runs = {data[s : s + r + length - 1].tobytes(): w for w, s, r in zip(*(x.tolist() for x in one[1:4]), strict=True)}
+    again = {data[7 + s : 7 + s + r + length - 1].tobytes(): w for w, s, r in zip(*(x.tolist() for x in two[1:4]), strict=True)}
+    assert len(set(runs.values())) == len(runs) and all(runs[t] == w for t, w in again.items() if t in runs) and runs.keys() & again.keys()
+
+
 def test_family_levels():
     import numpy as np
 
