@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Python gets about so many bytes at once while a table is written (a longer row is a batch of its own).
+BATCH_BYTES_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,14 +52,16 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str, batch_rows: int | None = None) -> DataFrame:
-        """Write and reread a table; batch_rows bounds the rows that Python gets at once meanwhile, where rows are long."""
-        before = self.spark.conf.get(BATCH_CONF)
-        if batch_rows:
-            self.spark.conf.set(BATCH_CONF, str(batch_rows))
+        """Write and reread a table; batch_rows bounds the rows that Python gets at once meanwhile, BATCH_BYTES their bytes."""
+        wanted = {BATCH_BYTES_CONF: str(BATCH_BYTES)} | ({BATCH_CONF: str(batch_rows)} if batch_rows else {})
+        before = {name: self.spark.conf.get(name) for name in wanted}
         try:
+            for name, value in wanted.items():
+                self.spark.conf.set(name, value)
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         finally:
-            self.spark.conf.set(BATCH_CONF, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:

@@ -75,12 +75,20 @@ class Family:
         if len(key):
             self.levels.append((key, check, hit, value))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = [np.concatenate((x, y)) for x, y in zip(b, a, strict=True)]
-            order = np.argsort(both[0], kind="stable")
-            self.levels.append(tuple(x[order] for x in both))
+            self._merge()
         return np.concatenate(out) if out else self.none
 
+    def _merge(self) -> None:
+        """The last two levels become one, column by column: no more than a column is there twice."""
+        late, early = list(self.levels.pop()), list(self.levels.pop())
+        to_early = np.searchsorted(late[0], early[0], "left") + np.arange(len(early[0]))
+        to_late = np.searchsorted(early[0], late[0], "right") + np.arange(len(late[0]))
+        for i in range(len(early)):
+            both = np.empty((len(to_early) + len(to_late), *early[i].shape[1:]), early[i].dtype)
+            both[to_early], both[to_late] = early[i], late[i]
+            early[i], late[i] = both, None
+        self.levels.append(tuple(early))
+
     def entries(self) -> tuple[np.ndarray, ...]:
         """All levels together; the family is emptied."""
         if not self.levels:
@@ -178,10 +186,10 @@ def _first_family(length: int, core_bytes: int):
                         yield from settle()
                         n = 0
         yield from settle()
-        _, _, hit, value = family.entries()
-        for a in range(0, len(value), BATCH_ENTRIES):
-            v = value[a : a + BATCH_ENTRIES]
-            yield _out(1, v, v[:, 5], v[:, 6], hit[a : a + BATCH_ENTRIES])
+        for _, _, hit, value in family.levels:
+            for a in range(0, len(value), BATCH_ENTRIES):
+                v = value[a : a + BATCH_ENTRIES]
+                yield _out(1, v, v[:, 5], v[:, 6], hit[a : a + BATCH_ENTRIES])
 
     return run
 
