@@ -9,11 +9,14 @@ entry of the index is a run with the fingerprint of its core and of its whole te
 The index is a family of arrays of entries in order of fingerprint (equality of bounded prefixes is all that counts, so any order
 will do). A new batch is sorted, entries that repeat in it are found between neighbours, and it is scanned against each level by
 binary search; then it becomes a level, and levels of like size merge, so each entry is merged log(n) times. Tasks build
-families over their own documents first: what repeats there is settled and one entry of each kind goes on. Entries are dealt
-by core and a second family finds the repeats between tasks. Equal runs are repeats whole. Where a core has runs that differ, at
-the ends of repeated passages, their windows are compared one by one, by a third family over window fingerprints: the texts of
-these runs are fetched once, and runs of a core with more than HOT_RUNS different ones are dealt by window, so no task
-gathers them.
+families over their own documents first: what repeats there is settled and one entry of each kind goes on; a family of more than
+HELD_ENTRIES is sent on and another begun. Entries are dealt by core and a second family finds the repeats between tasks. Equal
+runs are repeats whole. Where a core has runs that differ, at the ends of repeated passages, their windows are compared one by
+one, by a third family over window fingerprints: the texts of these runs are fetched once, and runs of a core with more than
+HOT_RUNS different ones are dealt by window, those that repeat within a task settled there, so no task gathers them.
+
+Cores that one text in SAMPLED shows to have so many runs are dealt by core and run from the start, and go to single windows.
+That decides where entries meet, not what is found: equal runs meet either way, and a core that the sample has missed is dealt by itself.
 
 Equality is that of a 64-bit fingerprint of the text among strings whose cores have equal 64-bit fingerprints as well. Fingerprints
 are sums over each eight bytes, mixed without linear structure first, so that unequal texts that share one cannot be built from
@@ -27,6 +30,7 @@ unequal texts are apart; rows without id count like others; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +45,25 @@ CORE = 100
 PIECE_BYTES = 1 << 18
 BATCH_ENTRIES = 1 << 15
 HOT_RUNS = 4096
+SAMPLED = 64
+#: Cores known to be hot: the most frequent ones, as many as may be broadcast.
+HOT_CORES = 200_000
+HELD_ENTRIES = 1 << 21
 _LOW = np.uint64((1 << 22) - 1)
 _A, _B = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class Sizes(NamedTuple):
+    """What the tasks of a run go by; hot_runs is at least 1."""
+
+    length: int = LENGTH
+    core: int = CORE
+    piece: int = PIECE_BYTES
+    hot_runs: int = HOT_RUNS
+    held: int = HELD_ENTRIES
+    sampled: int = SAMPLED
+
+
 class Family:
     """Levels of entries (key, check, hit, value) sorted by key and check; add() gives the values found to repeat."""
 
@@ -89,13 +108,16 @@ class Family:
             early[i], late[i] = both, None
         self.levels.append(tuple(early))
 
-    def entries(self) -> tuple[np.ndarray, ...]:
-        """All levels together; the family is emptied."""
-        if not self.levels:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), self.none
-        out = tuple(np.concatenate(x) for x in zip(*self.levels, strict=True))
-        self.levels = []
-        return out
+    def size(self) -> int:
+        return sum(len(k) for k, _, _, _ in self.levels)
+
+    def empty(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """The entries in blocks; the family begins anew."""
+        levels, self.levels = self.levels, []
+        while levels:
+            level = levels.pop()
+            for a in range(0, len(level[0]), BATCH_ENTRIES):
+                yield tuple(x[a : a + BATCH_ENTRIES] for x in level)
 
 
 def _sums(data: np.ndarray, core: int) -> tuple[np.ndarray, int]:
@@ -134,9 +156,9 @@ def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[n
     return h[anchor[start]], whole, start, run, anchor[start] - start
 
 
-def _pieces(text: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    for at in range(0, len(text) - length + 1, PIECE_BYTES):
-        yield at, text[at : at + PIECE_BYTES + length - 1]
+def _pieces(text: np.ndarray, sizes: Sizes) -> Iterator[tuple[int, np.ndarray]]:
+    for at in range(0, len(text) - sizes.length + 1, sizes.piece):
+        yield at, text[at : at + sizes.piece + sizes.length - 1]
 
 
 #: kind 0: bytes start to start + run + length - 1 go; kind 1: an entry. hit: whether the entry's own bytes are marked already.
@@ -156,8 +178,8 @@ def _key(core: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return mix(core * _A + whole * _B)
 
 
-def _first_family(length: int, core_bytes: int):
-    """From (id, mark, text) to marks and one entry for each different run of the task."""
+def _first_family(sizes: Sizes):
+    """From (id, mark, text) to marks and one entry for each different run of the task, or of so much of it as is held at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -171,25 +193,29 @@ def _first_family(length: int, core_bytes: int):
                 gone = family.add(_key(core, whole), core, np.zeros(len(core), bool), value)
                 if len(gone):
                     yield _out(0, gone)
+            if family.size() > most:
+                yield from sent()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for _, _, hit, value in family.empty():
+                yield _out(1, value, value[:, 5], value[:, 6], hit)
 
+        most = sizes.held
         family.none = np.zeros((0, 7), np.int64)
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(2))
-            for i in np.flatnonzero(np.diff(offsets) >= length):
-                for at, piece in _pieces(data[offsets[i] : offsets[i + 1]], length):
-                    core, whole, start, runs, offset = anchors(piece, length, core_bytes)
+            for i in np.flatnonzero(np.diff(offsets) >= sizes.length):
+                for at, piece in _pieces(data[offsets[i] : offsets[i + 1]], sizes):
+                    core, whole, start, runs, offset = anchors(piece, sizes.length, sizes.core)
                     value = np.column_stack((np.full(len(core), ids[i]), np.full(len(core), marks[i]), start + at, runs, offset))
                     held.append((core, whole, value))
                     n += len(core)
-                    if n >= BATCH_ENTRIES:
+                    if n >= min(BATCH_ENTRIES, most):
                         yield from settle()
                         n = 0
         yield from settle()
-        for _, _, hit, value in family.levels:
-            for a in range(0, len(value), BATCH_ENTRIES):
-                v = value[a : a + BATCH_ENTRIES]
-                yield _out(1, v, v[:, 5], v[:, 6], hit[a : a + BATCH_ENTRIES])
+        yield from sent()
 
     return run
 
@@ -198,68 +224,105 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(_ENTRY)}
 
 
-def _second_family():
-    """Marks pass; entries of all tasks meet by core. Left are the runs whose core has others that differ."""
+def _second_family(sizes: Sizes):
+    """Marks pass; entries of all tasks meet by core, or by run where `others` says that their core is hot. Left are the runs whose core
+    has others that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        family = Family(7)
+        family, hot = Family(7), np.zeros(0, np.int64)
         for batch in batches:
             c = _columns(batch)
             mark = c["kind"] == 0
             if mark.any():
-                yield batch.filter(pa.array(mark))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mark)).columns, schema=_ENTRY)
             e = {k: v[~mark] for k, v in c.items()}
             core, whole = e["core"].astype(np.uint64), e["whole"].astype(np.uint64)
             value = np.column_stack([e[k] for k in ("id", "mark", "start", "run", "offset", "core", "whole")]).astype(np.int64)
+            hot = np.union1d(hot, e["core"][e["others"] > sizes.hot_runs])
             gone = family.add(_key(core, whole), core, e["hit"].astype(bool), value)
             if len(gone):
                 yield _out(0, gone)
-        _, core, hit, value = family.entries()
+        # how many runs each core has; only the cores are sorted, entries stay where they are
+        core = np.concatenate([np.zeros(0, np.uint64), *(level[1] for level in family.levels)])
         order = np.argsort(core)
-        core, hit, value = core[order], hit[order], value[order]
-        first = np.flatnonzero(np.concatenate(([True], core[1:] != core[:-1]))) if len(core) else np.zeros(0, int)
-        others = np.repeat(np.diff(np.append(first, len(core))), np.diff(np.append(first, len(core))))
-        open_ = np.flatnonzero(others > 1)
-        for a in range(0, len(open_), BATCH_ENTRIES):
-            i = open_[a : a + BATCH_ENTRIES]
-            yield _out(1, value[i], core[i], value[i, 6], hit[i], others[i])
+        ranked = core[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(core) else np.zeros(0, int)
+        count = np.diff(np.append(first, len(core)))
+        others = np.empty(len(core), np.int64)
+        others[order] = np.repeat(count, count)
+        del order, ranked
+        others[np.isin(core.astype(np.int64), hot)] = sizes.hot_runs + 1
+        begin = 0
+        for _, own, hit, value in family.levels:
+            open_ = np.flatnonzero(others[begin : begin + len(own)] > 1)
+            for a in range(0, len(open_), BATCH_ENTRIES):
+                i = open_[a : a + BATCH_ENTRIES]
+                yield _out(1, value[i], own[i], value[i, 6], hit[i], others[begin + i])
+            begin += len(own)
 
     return run
 
 
+#: run 0: a window that is known to repeat
 WINDOW = "deal long, core long, id long, mark long, start long, run int, offset int, hit boolean, piece binary"
+_WINDOW = (*(pa.int64(),) * 5, pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+
+def _windows_of(sizes: Sizes):
+    """From (id, mark, text, runs) to the text of each run, or for runs of hot cores to single windows, each different one once."""
 
+    def rows(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) if isinstance(c, np.ndarray) else pa.array(c, t) for c, t in zip(columns, _WINDOW, strict=True)], names=[x.split()[0] for x in WINDOW.split(", ")])
 
-def _windows_of(length: int, core_bytes: int):
-    """From (id, mark, text, runs) to the text of each run, or for runs of hot cores to single windows."""
+    def single(key: np.ndarray, value: np.ndarray, hit: np.ndarray, run: int) -> pa.RecordBatch:
+        """Windows; value: id, mark, start, offset, core."""
+        n = len(value)
+        return rows([key.astype(np.int64), value[:, 4], value[:, 0], value[:, 1], value[:, 2], np.full(n, run), value[:, 3], hit, [None] * n])
+
+    def settled(gone: np.ndarray) -> pa.RecordBatch:
+        # dealt by where they are, as they meet no other
+        return single(mix(gone[:, 0].astype(np.uint64) * _A + gone[:, 2].astype(np.uint64)), gone, np.ones(len(gone), bool), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = Family(5)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             out = []
-
-            def rows(out: list[tuple]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*(pa.int64(),) * 5, pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=[x.split()[0] for x in WINDOW.split(", ")])
-
             for i, (id_, mark, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
+                held = []
                 for r in runs:
-                    piece = text[r["start"] : r["start"] + r["run"] + length - 1]
-                    if r["others"] <= HOT_RUNS:
+                    piece = text[r["start"] : r["start"] + r["run"] + sizes.length - 1]
+                    if r["others"] <= sizes.hot_runs:
                         out.append((r["core"], r["core"], id_, mark, r["start"], r["run"], r["offset"], r["hit"], piece.tobytes()))
+                        if len(out) >= 4096:
+                            yield rows(list(zip(*out, strict=True)))
+                            out = []
                     else:
-                        keys = _window_keys(piece, np.array([0]), np.array([r["run"]]), length, core_bytes).astype(np.int64)
-                        out += [(int(k), r["core"], id_, mark, r["start"] + j, 1, r["offset"] - j, r["hit"], None) for j, k in enumerate(keys)]
-                    if len(out) >= 4096:
-                        yield rows(out)
-                        out = []
+                        n = r["run"]
+                        j = np.arange(n)
+                        value = np.column_stack((np.full(n, id_), np.full(n, mark), r["start"] + j, r["offset"] - j, np.full(n, r["core"])))
+                        held.append((_window_keys(piece, np.array([0]), np.array([n]), sizes.length, sizes.core), np.full(n, r["hit"]), value))
+                if held:
+                    key, hit, value = (np.concatenate(x) for x in zip(*held, strict=True))
+                    gone = family.add(key, _place(value[:, 4], value[:, 3]), hit, value)
+                    if len(gone):
+                        yield settled(gone)
+                if family.size() > sizes.held:
+                    yield from (single(k, v, h, 1) for k, _, h, v in family.empty())
             if out:
-                yield rows(out)
+                yield rows(list(zip(*out, strict=True)))
+        yield from (single(k, v, h, 1) for k, _, h, v in family.empty())
 
     return run
 
 
+def _place(core: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A check of windows beside their fingerprint: the core they hold and where."""
+    return mix(core.astype(np.uint64) * _A + offset.astype(np.uint64))
+
+
 def _window_keys(data: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, core: int) -> np.ndarray:
     """Fingerprints of the windows that start at at, at + 1, ... in data."""
     sums, unit = _sums(data, core)
@@ -268,7 +331,7 @@ def _window_keys(data: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int
     return mix((sums[start + length - unit + 1] - sums[start]) * down[start])
 
 
-def _third_family(length: int, core_bytes: int):
+def _third_family(sizes: Sizes):
     """Marks of windows that repeat, as (id, mark, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +342,8 @@ def _third_family(length: int, core_bytes: int):
                 part = batch.slice(a, 1024)
                 deal, core, ids, marks, start, runs, offset, hit = (part.column(i).to_numpy(zero_copy_only=False) for i in range(8))
                 runs = runs.astype(np.int64)
+                if (known := runs == 0).any():
+                    yield _spans(np.column_stack((ids, marks, start))[known], sizes.length)
                 pieces = part.column(8)
                 whole = np.array([x.is_valid for x in pieces])
                 row = np.repeat(np.arange(len(runs)), runs)
@@ -286,13 +351,13 @@ def _third_family(length: int, core_bytes: int):
                 key = deal.astype(np.uint64)[row]
                 if whole.any():
                     joined = np.frombuffer(b"".join(x.as_py() for x in pieces if x.is_valid), np.uint8)
-                    sizes = runs[whole] + length - 1
-                    key[whole[row]] = _window_keys(joined, np.cumsum(sizes) - sizes, runs[whole], length, core_bytes)
-                check = mix(core.astype(np.uint64)[row] * _A + (offset[row] - j).astype(np.uint64))
+                    long = runs[whole] + sizes.length - 1
+                    key[whole[row]] = _window_keys(joined, np.cumsum(long) - long, runs[whole], sizes.length, sizes.core)
+                check = _place(core[row], offset[row] - j)
                 value = np.column_stack((ids[row], marks[row], start[row] + j))
                 gone = family.add(key, check, hit.astype(bool)[row], value)
                 if len(gone):
-                    yield _spans(gone, length)
+                    yield _spans(gone, sizes.length)
 
     return run
 
@@ -311,18 +376,30 @@ def _identity(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, core: int = CORE) -> DataFrame:
+def _hot_cores(texts: DataFrame, sizes: Sizes) -> DataFrame:
+    """(core): cores that have more than hot_runs different runs, as far as one text in `sampled` shows."""
+    some = texts.where(F.pmod(F.xxhash64("id", "mark", F.lit(5)), F.lit(sizes.sampled)) == 0).mapInArrow(_first_family(sizes), ENTRY)
+    runs = some.where("kind = 1").select("core", "whole").distinct().groupBy("core").agg(F.count("*").alias("n"))
+    return runs.where(F.col("n") > sizes.hot_runs // sizes.sampled).orderBy(F.desc("n"), "core").limit(HOT_CORES).select("core")
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, core: int = CORE, sizes: Sizes = Sizes()) -> DataFrame:
     """(id, mark, start, end): byte spans to remove from the rows with these identities, with overlaps."""
+    sizes = sizes._replace(length=length, core=core)
     id_, mark = _identity(docs)
     texts = docs.select(id_.alias("id"), mark.alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    entries = texts.where(F.octet_length("text") >= length).mapInArrow(_first_family(length, core), ENTRY)
-    found = scratch.save(entries.repartition("core").mapInArrow(_second_family(), ENTRY), "entries", 4000)
+    texts = texts.where(F.octet_length("text") >= length)
+    hot = scratch.save(_hot_cores(texts, sizes), "hot").select("core", F.lit(True).alias("is_hot"))
+    entries = texts.mapInArrow(_first_family(sizes), ENTRY).join(F.broadcast(hot), "core", "left")  # no more than HOT_CORES
+    deal = F.when(F.col("is_hot"), F.xxhash64("core", "whole")).otherwise(F.col("core"))
+    entries = entries.withColumn("others", F.when(F.col("is_hot"), F.lit(sizes.hot_runs + 1)).otherwise(F.lit(0))).repartition(deal)
+    found = scratch.save(entries.select(*_ENTRY.names).mapInArrow(_second_family(sizes), ENTRY), "entries", 4000)
     scratch.release()
     open_ = found.where("kind = 1").groupBy("id", "mark").agg(F.collect_list(F.struct("core", "start", "run", "offset", "hit", "others")).alias("runs"))
     fetched = texts.join(open_.hint("shuffle_hash"), ["id", "mark"]).select("id", "mark", "text", "runs")
     # rows with one identity bring the same runs twice, and rightly match: each text starts in the other row too
-    windows = fetched.mapInArrow(_windows_of(length, core), WINDOW).repartition("deal")
-    spans = scratch.save(windows.mapInArrow(_third_family(length, core), "id long, mark long, start long, end long"), "spans", 2000)
+    windows = fetched.mapInArrow(_windows_of(sizes), WINDOW).repartition("deal")
+    spans = scratch.save(windows.mapInArrow(_third_family(sizes), "id long, mark long, start long, end long"), "spans", 2000)
     scratch.release()
     return spans.union(found.where("kind = 0").select("id", "mark", "start", (F.col("start") + F.col("run") + F.lit(length - 1)).alias("end")))
 

@@ -43,15 +43,32 @@ def test_equals_brute_force(spark, length, core):
     assert got == want and sum(w[1] for w in want) > 1000
 
 
-def test_hot_runs_are_dealt_by_window(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 1)
-    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)
-    docs = documents(spark)
-    made, name = run(docs, spark, length=60, core=30)
+@pytest.mark.parametrize("sizes", [{"hot_runs": 1, "piece": 300}, {"held": 50}, {"hot_runs": 1, "sampled": 1}, {"hot_runs": 2, "sampled": 1, "held": 7}, {"hot_runs": 1, "sampled": 2}])
+def test_sizes_change_no_result(spark, sizes):
+    # hot runs by window, with and without knowing their cores before, families sent on when few entries are held
+    docs = documents(spark).repartition(3)
+    made, name = run(docs, spark, length=60, core=30, sizes=suffix_dedup.Sizes(**sizes))
     rows = made.select("text", f"{name}.n_removed", f"{name}.n_spans").collect()
     assert [(r.n_removed, r.n_spans) for r in rows] == [w[1:3] for w in brute([r.text for r in rows], 60)]
 
 
+def test_line_that_most_texts_hold(spark):
+    # a core with hundreds of different runs, and windows of one text among them
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choices(words, k=9))  # shorter than a window, longer than a core
+    long = " ".join(rng.choices(words, k=30))
+    texts = [f"{' '.join(rng.choices(words, k=20))} {line if i % 3 else long} {' '.join(rng.choices(words, k=20))}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for sizes in ({}, {"hot_runs": 20, "sampled": 4}, {"hot_runs": 20, "sampled": 4, "held": 100}, {"hot_runs": 20}):
+        made, name = run(docs, spark, length=60, core=30, sizes=suffix_dedup.Sizes(**sizes))
+        rows = made.select("text", f"{name}.n_removed", f"{name}.n_spans").collect()
+        want = brute([r.text for r in rows], 60)
+        assert [(r.n_removed, r.n_spans) for r in rows] == [w[1:3] for w in want] and sum(w[1] for w in want) > 100 * len(long)
+
+
 @pytest.mark.parametrize("core", [5, 8, 30])
 def test_fingerprints_are_of_the_strings_alone(core):
     import numpy as np
