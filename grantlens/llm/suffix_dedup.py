@@ -170,7 +170,9 @@ def _out(kind: int, value: np.ndarray, core: np.ndarray | None = None, whole: np
     """value: id, mark, start, run, offset."""
     n = len(value)
     zero = np.zeros(n, np.int64)
-    columns = [np.full(n, kind), value[:, 0], value[:, 1], value[:, 1] if core is None else core.astype(np.int64), zero if whole is None else whole.astype(np.int64), value[:, 2], value[:, 3], value[:, 4], zero.astype(bool) if hit is None else hit, zero if others is None else others]
+    if core is None:  # marks meet no other entry: dealt by where they are, not by texts, of which there may be very many copies
+        core = mix(value[:, 0].astype(np.uint64) * _A + (value[:, 2] >> 16).astype(np.uint64))
+    columns = [np.full(n, kind), value[:, 0], value[:, 1], core.astype(np.int64), zero if whole is None else whole.astype(np.int64), value[:, 2], value[:, 3], value[:, 4], zero.astype(bool) if hit is None else hit, zero if others is None else others]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if f.type == pa.bool_() else pa.array(c).cast(f.type) for c, f in zip(columns, _ENTRY, strict=True)], schema=_ENTRY)
 
 
